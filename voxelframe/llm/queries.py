@@ -7,9 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .minhash import near_duplicates
+from .packing import pack, word_count
+from .quality import grade, ratings_of, train
+from .secrets import scan_secrets, spans_string
 from .suffix import drop_repeats
 
 
+def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(spans_string(F.col("_base")), 256).alias("base_sha256"),
+        spans_string(F.array_sort(F.concat("_base", "_linked"))).alias("spans"), F.size("_linked").cast("long").alias("n_linked"),
+    )
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, ratings_of(table(spark, sf_dir, "labels")), levels=3)
+    return grade(docs, model).select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_ge_1"), F.get("tails", F.lit(1)).alias("p_ge_2"), (F.get("tails", F.lit(1)) >= 0.5).alias("keep"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64(F.lower("text")), capacity=2048)
+
+
 def op8_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -19,5 +42,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
 
 
-QUERIES = {"op8_suffix_lpf": op8_suffix_lpf, "op10_minhash": op10_minhash}
+QUERIES = {
+    "op2_multipart_secrets": op2_multipart_secrets,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_suffix_lpf": op8_suffix_lpf,
+    "op10_minhash": op10_minhash,
+}
 ORACLES: dict[str, str] = {}
