@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .automaton import encode_decode
+from .common import new_path, table
 from .minhash import near_duplicates
 from .packing import pack, word_count
 from .quality import grade, ratings_of, train
 from .secrets import scan_secrets, spans_string
 from .suffix import drop_repeats
+from .tokenfile import read_tokens, write_tokens
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_zstd_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), out, end=2)
+    return read_tokens(spark, out).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +65,8 @@ QUERIES = {
     "op2_multipart_secrets": op2_multipart_secrets,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_zstd_token_file": op6_zstd_token_file,
+    "op7_merge_automaton": op7_merge_automaton,
     "op8_suffix_lpf": op8_suffix_lpf,
     "op10_minhash": op10_minhash,
 }
