@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,13 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so once the
+    driver has collected the objects that stand for them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(doc_id, text[, more]): the columns an operator needs, by whatever other
     columns there are. A null text counts as empty; a row without an id takes

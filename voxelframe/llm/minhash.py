@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, materialize, mix64, shingle_set, words_of
+from .common import discard, documents, free, materialize, mix64, shingle_set, words_of
 from .graph import connected_components
 
 SKETCH = "doc_id long, dig binary, n_shingles long, bands array<long>"
@@ -131,6 +131,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     members = materialize(banded.join(shared, "bucket").select("bucket", "id", "n", F.col("id").alias("c")), "members")
     sets = materialize(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary").dropDuplicates(["id"]), "sets")
 
+    free(docs.sparkSession)
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
@@ -153,6 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
         pairs = materialize(pairs, "pairs")
         tried.append(pairs)
         links.append(materialize(_verified(pairs, sets, percent), "links"))
+        free(docs.sparkSession)
         comp = connected_components(_all(links))
         if k == leaders:
             break

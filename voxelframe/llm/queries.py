@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .automaton import encode_decode
 from .common import new_path, table
+from .editcount import count_with_edits
 from .minhash import near_duplicates
 from .packing import pack, word_count
 from .quality import grade, ratings_of, train
 from .secrets import scan_secrets, spans_string
 from .suffix import drop_repeats
 from .tokenfile import read_tokens, write_tokens
+from .vptree import build_index, search
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +34,12 @@ def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factor 1: the search is exact, so that SQL can check it."""
+    rows = table(spark, sf_dir, "embeddings")
+    return search(build_index(rows), rows.where("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
 def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
@@ -52,6 +60,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64(F.lower("text")), capacity=2048)
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each document: its source put in after a third of the
+    text, up to 16 characters deleted after two thirds, its last character
+    replaced by its language."""
+    import public_tokenizers
+
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda at, delete, insert: F.struct(at.cast("int").alias("at"), F.lit(delete).alias("delete"), F.coalesce(insert, F.lit("")).alias("insert"))
+    edits = F.array(edit(F.floor(n / 3), 0, F.col("source")), edit(F.floor(n * 2 / 3), 16, F.lit("")), edit(n - 1, 1, F.col("lang")))
+    docs = table(spark, sf_dir, "documents").withColumn("edits", edits)
+    return count_with_edits(docs, str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op8_suffix_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeats(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -62,12 +83,37 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vp_tree": op1_vp_tree,
     "op2_multipart_secrets": op2_multipart_secrets,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_zstd_token_file": op6_zstd_token_file,
     "op7_merge_automaton": op7_merge_automaton,
     "op8_suffix_lpf": op8_suffix_lpf,
+    "op9_edit_counts": op9_edit_counts,
     "op10_minhash": op10_minhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_vp_tree": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+    AND list_sum(list_transform(embedding, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda a, x: a + x) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op10_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+h AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) = 1 THEN w
+  ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM h),
+c AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+r AS (SELECT doc_id, n, e.g, row_number() OVER (PARTITION BY doc_id ORDER BY c.df, e.g) AS k FROM e JOIN c ON e.g = c.g),
+p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.k <= a.n - (a.n * 8 + 9) // 10 + 1 AND b.k <= b.n - (b.n * 8 + 9) // 10 + 1 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM p JOIN h x ON x.doc_id = a JOIN h y ON y.doc_id = b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(d, m) AS (SELECT doc_id, doc_id FROM h UNION SELECT u.b, t.m FROM t JOIN u ON u.a = t.d)
+SELECT h.doc_id, CAST(len(h.s) AS BIGINT) AS n_shingles, min(t.m) AS component_id, h.doc_id = min(t.m) AS kept FROM h JOIN t ON t.d = h.doc_id GROUP BY h.doc_id, h.s""",
+}

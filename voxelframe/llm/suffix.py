@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix64
+from .common import discard, documents, free, materialize, mix64
 
 RNG = np.random.default_rng(20240229)
 _BYTE = [RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1) for _ in range(2)]
 _BASE = [np.uint64(0x5851F42D4C957F2D), np.uint64(0xDA942042E4DD58B5)]
 #: Bytes of text in one suffix array.
-BLOCK = 2_000_000
+BLOCK = 400_000
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -121,21 +121,24 @@ def truncated_suffix_array(x: np.ndarray, starts: np.ndarray, length: int) -> tu
     padded = np.concatenate([x, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for j in range(depth):
-        key = (key << np.uint64(8)) | padded[j : j + n]
+        key <<= np.uint64(8)
+        key |= padded[j : j + n]
     while depth < length:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])).astype(np.uint64)
         step = min(depth, length - depth)
-        ahead = np.zeros(n, np.uint64)
-        ahead[: n - step] = rank[step:]
-        key = (rank << np.uint64(32)) | ahead
+        key = rank << np.uint64(32)
+        key[: n - step] |= rank[step:]
         depth += step
     k = key[starts]
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     s = k[order]
-    return order, np.concatenate([[False], s[1:] == s[:-1]]) if len(s) else np.empty(0, bool)
+    same = np.concatenate([[False], s[1:] == s[:-1]]) if len(s) else np.empty(0, bool)
+    place = (np.cumsum(~same).astype(np.uint64) << np.uint64(32)) | order.astype(np.uint64)
+    place.sort()  # equals in text order
+    return (place & np.uint64(0xFFFFFFFF)).astype(np.int64), same
 
 
 def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,21 +225,20 @@ FOUND = "doc_id long, d long, first int, last int, h1 long, h2 long"
 
 
 def _shard(length: int):
-    """Rows (doc_id, d, g, s, parts, lo, bytes) sorted by (g, s): spans of
+    """Rows (doc_id, d, g, s, parts, lo, bytes), sorted by (g, s): spans of
     starts that have come before, and of hot grams also the fingerprints of
     those strings that are first here (h1 not null)."""
 
-    def judge(rows: list[tuple]) -> pa.RecordBatch | None:
-        rows.sort(key=lambda r: (r[0], r[1], r[5]))
-        n = np.array([len(r[6]) for r in rows])
-        x = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    def judge(rows: dict[str, np.ndarray], raw: np.ndarray) -> pa.RecordBatch | None:
+        order = np.lexsort((rows["lo"], rows["d"], rows["doc_id"]))
+        ids, ds, lo, n, begin, parts = (rows[k][order] for k in ("doc_id", "d", "lo", "size", "begin", "parts"))
         at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        x = raw[np.arange(n.sum()) + np.repeat(begin - at, n)]
         own = n - length + 1
-        row = np.repeat(np.arange(len(rows)), own)
+        row = np.repeat(np.arange(len(n)), own)
         inner = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(own)[:-1]]), own)
         starts = at[row] + inner
         again = earlier(x, starts, length)
-        ids, ds, lo = (np.array([r[k] for r in rows]) for k in (0, 1, 5))
         where = lo[row] + inner
         flagged = np.flatnonzero(again)
         cols = [[], [], [], [], [], []]
@@ -245,7 +247,7 @@ def _shard(length: int):
             first = flagged[new]
             last = flagged[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(flagged) - 1]])]
             cols = [ids[row[first]], ds[row[first]], where[first], where[last], np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)]
-        hot = np.array([r[4] > 1 for r in rows])
+        hot = parts > 1
         left = np.flatnonzero(~again & hot[row])
         nulls = np.ones(len(cols[0]), bool)
         if len(left):
@@ -259,44 +261,75 @@ def _shard(length: int):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64), mask=nulls if k > 3 else None).cast(t) for k, (c, t) in enumerate(zip(cols, kinds, strict=True))], ["doc_id", "d", "first", "last", "h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, key = [], 0, None
+        kept: pa.Table | None = None
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= BLOCK and (r[2], r[3]) != key:
-                    if (out := judge(rows)) is not None:
-                        yield out
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[6])
-                key = r[2], r[3]
-        if rows and (out := judge(rows)) is not None:
+            t = pa.Table.from_batches([b] if kept is None else [*kept.to_batches(), b]).combine_chunks()
+            *whole, kept = _blocks(t)
+            for rows, raw in (_columns(x) for x in whole):
+                if (out := judge(rows, raw)) is not None:
+                    yield out
+        if kept is not None and kept.num_rows and (out := judge(*_columns(kept))) is not None:
             yield out
 
     return run
 
 
+def _columns(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns as arrays, and the bytes of all rows; begin: of each row's."""
+    c = t.column("bytes").combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    kind = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+    ends = np.frombuffer(c.buffers()[1], kind)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    raw = np.frombuffer(c.buffers()[2], np.uint8)
+    out = {k: t.column(k).to_numpy() for k in ("doc_id", "d", "parts", "lo")}
+    return out | {"size": np.diff(ends), "begin": ends[:-1]}, raw
+
+
+def _blocks(t: pa.Table) -> list[pa.Table]:
+    """Cut where (g, s) changes, into blocks of about BLOCK bytes; the last may go on."""
+    g, s = t.column("g").to_numpy(), t.column("s").to_numpy()
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
+    rows, _ = _columns(t)
+    before = np.cumsum(rows["size"]) - rows["size"]
+    first = np.flatnonzero(new)
+    block = before[first] // BLOCK
+    cuts = [0, *first[1:][block[1:] != block[:-1]].tolist(), t.num_rows]
+    return [t.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def removed_spans(docs: DataFrame, length: int = 100, gram: int = 24, hot: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, d, spans): for the first of each set of equal texts, the spans
     (first, last) of starts whose string has come before. d: 64 bits of the
     text's digest."""
     texts = documents(docs, id_col, text_col)
+    runs = materialize(_repeated_runs(texts, length, gram, hot), "runs")
+    free(docs.sparkSession)
+    found = materialize(_found(texts, runs, length), "spans")
+    discard(runs)
+    free(docs.sparkSession)
+    open_ = found.where("h1 is not null")
+    least = open_.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "d", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    later = open_.join(least, ["h1", "h2"]).where(F.struct("doc_id", "d", "first") != F.col("m")).select("doc_id", "d", "first", "last")
+    spans = found.where("h1 is null").select("doc_id", "d", "first", "last").union(later)
+    return spans.groupBy("doc_id", "d").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+
+
+def _repeated_runs(texts: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """(doc_id, d, runs) of those runs whose gram occurs elsewhere, for the
+    first of each set of equal texts."""
     runs = texts.mapInArrow(_grams(length, gram), "doc_id long, d long, g long, run long, own boolean")
     again = runs.groupBy("g").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("own").alias("own"), F.count("*").alias("n")).where("lo <> hi or own")
     again = again.select("g", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
-    kept = firsts(texts).select(F.col("doc_id").alias("i"), F.col("d").alias("e"))
     by_doc = runs.select("doc_id", "d", "g", "run").join(again, "g").groupBy("doc_id", "d").agg(F.collect_list(F.struct("run", "g", "parts")).alias("runs"))
-    by_doc = by_doc.join(kept, (F.col("doc_id") == F.col("i")) & (F.col("d") == F.col("e")), "left_semi")
+    return by_doc.join(firsts(texts).select("doc_id", "d"), ["doc_id", "d"], "left_semi")
+
+
+def _found(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     keyed = _keyed(texts).dropDuplicates(["doc_id", "d"])
-    around = by_doc.join(keyed.select(F.col("doc_id").alias("i"), F.col("d").alias("e"), "text"), (F.col("doc_id") == F.col("i")) & (F.col("d") == F.col("e"))).select("doc_id", "d", "text", "runs").mapInArrow(_contexts(length), "doc_id long, d long, g long, parts int, lo int, bytes binary")
+    around = runs.join(keyed, ["doc_id", "d"]).select("doc_id", "d", "text", "runs").mapInArrow(_contexts(length), "doc_id long, d long, g long, parts int, lo int, bytes binary")
     dealt = around.select("doc_id", "d", "g", F.pmod(F.xxhash64("doc_id", "d"), F.col("parts")).alias("s"), "parts", "lo", "bytes")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(n, "g", "s").sortWithinPartitions("g", "s").mapInArrow(_shard(length), FOUND)
-    found = materialize(found, "spans")
-    open_ = found.where("h1 is not null")
-    least = open_.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "d", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    later = open_.join(least, ["h1", "h2"]).where(F.struct("doc_id", "d", "first") != F.col("m")).select("doc_id", "d", "first", "last")
-    spans = found.where("h1 is null").select("doc_id", "d", "first", "last").union(later)
-    return spans.groupBy("doc_id", "d").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "g", "s").sortWithinPartitions("g", "s").mapInArrow(_shard(length), FOUND)
 
 
 def _digest(text):
@@ -313,6 +346,42 @@ def firsts(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.sha2("text", 256).alias("full"), _digest("text").alias("d")).groupBy("full").agg(F.min(F.struct("doc_id", "d")).alias("m")).select("full", "m.doc_id", "m.d")
 
 
+def _merged(raw: bytes, spans: list | None, copy: bool, length: int) -> list[tuple[int, int]]:
+    """The byte ranges to remove, disjoint and in order."""
+    if copy:
+        spans = [{"first": 0, "last": len(raw) - length}] if len(raw) >= length else []
+    out: list[tuple[int, int]] = []
+    for s in spans or []:
+        lo, hi = s["first"], s["last"] + length
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _without(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for lo, hi in ranges:
+        kept.append(raw[at:lo])
+        at = max(at, hi)
+    kept.append(raw[at:])
+    return b"".join(kept)
+
+
+def _whole_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Shrunk so that no UTF-8 character is cut."""
+    out = []
+    for lo, hi in ranges:
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append((lo, hi))
+    return out
+
+
 def _strip(length: int):
     """From (doc_id, text, spans, copy): what is left."""
 
@@ -321,33 +390,55 @@ def _strip(length: int):
             out: list[list] = [[], [], [], [], []]
             for i, t, spans, copy in zip(*b.columns, strict=True):
                 raw = t.as_py().encode("utf-8", "surrogatepass")
-                spans = spans.as_py()
-                if copy.as_py():
-                    spans = [{"first": 0, "last": len(raw) - length}] if len(raw) >= length else []
-                merged: list[list[int]] = []
-                for s in spans or []:
-                    lo, hi = s["first"], s["last"] + length
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                kept, at = [], 0
-                for lo, hi in merged:
-                    kept.append(raw[at:lo])
-                    at = hi
-                kept.append(raw[at:])
-                for col, v in zip(out, (i.as_py(), len(raw), sum(hi - lo for lo, hi in merged), len(merged), b"".join(kept)), strict=True):
+                ranges = _merged(raw, spans.as_py(), copy.as_py(), length)
+                for col, v in zip(out, (i.as_py(), len(raw), sum(hi - lo for lo, hi in ranges), len(ranges), _without(raw, ranges)), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
+def _cut(length: int, columns: list[str], text_col: str, chars_col: str):
+    """From (columns, spans, copy): the columns with the text cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = {c: b.column(k) for k, c in enumerate(columns)}
+            texts = []
+            for t, spans, copy in zip(cols[text_col], b.column(len(columns)), b.column(len(columns) + 1), strict=True):
+                t = t.as_py()
+                if t is not None and (spans.is_valid or copy.as_py()):
+                    raw = t.encode("utf-8", "surrogatepass")
+                    t = _without(raw, _whole_characters(raw, _merged(raw, spans.as_py(), copy.as_py(), length))).decode("utf-8", "surrogatepass")
+                texts.append(t)
+            cols[text_col] = pa.array(texts, pa.string())
+            if chars_col in cols:
+                cols[chars_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), columns)
+
+    return run
+
+
+def _marked(docs: DataFrame, length: int, gram: int, hot: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, d, first, spans): a row for each first of equal texts."""
+    spans = removed_spans(docs, length, gram, hot, id_col, text_col)
+    first = firsts(documents(docs, id_col, text_col)).select("doc_id", "d", F.lit(True).alias("first"))
+    return first.join(spans, ["doc_id", "d"], "left").select(F.col("doc_id").alias("_i"), F.col("d").alias("_e"), F.col("first").alias("_first"), F.col("spans").alias("_spans"))
+
+
 def drop_repeats(docs: DataFrame, length: int = 100, gram: int = 24, hot: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept: binary), one row for each row of ``docs``."""
-    texts = documents(docs, id_col, text_col)
-    spans = removed_spans(docs, length, gram, hot, id_col, text_col)
-    first = firsts(texts).select("doc_id", "d", F.lit(True).alias("first"))
-    marks = first.join(spans, ["doc_id", "d"], "full").select(F.col("doc_id").alias("i"), F.col("d").alias("e"), F.coalesce("first", F.lit(False)).alias("first"), "spans")
-    all_ = _keyed(texts).join(marks, (F.col("doc_id") == F.col("i")) & (F.col("d") == F.col("e")), "left")
-    return all_.select("doc_id", "text", "spans", F.col("first").isNull().alias("copy")).mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    marks = _marked(docs, length, gram, hot, id_col, text_col)
+    all_ = _keyed(documents(docs, id_col, text_col)).join(marks, (F.col("doc_id") == F.col("_i")) & (F.col("d") == F.col("_e")), "left")
+    return all_.select("doc_id", "text", "_spans", F.col("_first").isNull().alias("copy")).mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cut_repeats(docs: DataFrame, length: int = 100, gram: int = 24, hot: int = 512, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeats cut out of ``text_col`` (whole characters only)
+    and ``chars_col``, if there, counted anew. Rows without an id stay as they are."""
+    marks = _marked(docs, length, gram, hot, id_col, text_col)
+    e = F.expr(f"cast(conv(substr(sha2(coalesce(`{text_col}`, ''), 256), 1, 16), 16, -10) as long)")
+    keyed = docs.withColumn("_d", e)
+    all_ = keyed.join(marks, (F.col(id_col) == F.col("_i")) & (F.col("_d") == F.col("_e")), "left")
+    copy = F.col("_first").isNull() & F.col(id_col).isNotNull()
+    return all_.select(*docs.columns, "_spans", copy.alias("_copy")).mapInArrow(_cut(length, docs.columns, text_col, chars_col), docs.schema)
