@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .automaton import encode_decode
 from .common import new_path, table
 from .editcount import count_with_edits
+from .jpeg import encode_texts, media_digests
 from .minhash import near_duplicates
 from .packing import pack, word_count
 from .quality import grade, ratings_of, train
@@ -49,6 +50,10 @@ def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, ratings_of(table(spark, sf_dir, "labels")), levels=3)
@@ -85,6 +90,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_vp_tree": op1_vp_tree,
     "op2_multipart_secrets": op2_multipart_secrets,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_zstd_token_file": op6_zstd_token_file,
