@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, signal
@@ -115,8 +115,8 @@ _LOADED = f"{_GRID}, cr AS (SELECT loc_id, v.i, v.x, v.d, v.i - i0 AS ci, v.x -
 _crops = lambda s, d: volume.load_crops(vox(s, d), _grid(s), CROP)
 add("crop_load", lambda s, d: _crops(s, d).groupBy("loc_id").agg(F.count("*").alias("n"), F.round(F.sum("amp"), 6).alias("total")), ["vox"], f"WITH {_LOADED} SELECT loc_id, count(*) AS n, round(sum(amp), 6) AS total FROM cr GROUP BY loc_id")
 for how, e in {"max": "max(amp + loc_id)", "mean": "avg(amp + loc_id)", "std": "stddev_pop(amp + loc_id)", "gmean": "exp(avg(ln(abs(amp) + 1 + loc_id)))"}.items():
-    value = (F.abs("amp") + 1 + F.col("loc_id")) if how == "gmean" else F.col("amp") + F.col("loc_id")
-    add(f"acc_{how}", lambda s, d, how=how, value=value: volume.accumulate(_crops(s, d).withColumn("amp", value), how), ["vox"], f"WITH {_LOADED} SELECT i, x, d, round({e}, 6) AS v FROM cr GROUP BY i, x, d")
+    value = "abs(amp) + 1 + loc_id" if how == "gmean" else "amp + loc_id"
+    add(f"acc_{how}", lambda s, d, how=how, value=value: volume.accumulate(_crops(s, d).withColumn("amp", F.expr(value)), how), ["vox"], f"WITH {_LOADED} SELECT i, x, d, round({e}, 6) AS v FROM cr GROUP BY i, x, d")
 add("acc_mode", lambda s, d: volume.accumulate(_crops(s, d).withColumn("amp", F.col("loc_id") % 3), "mode"), ["vox"], f"WITH {_LOADED}, c AS (SELECT i, x, d, loc_id % 3 AS v, count(*) AS n FROM cr GROUP BY 1, 2, 3, 4) SELECT i, x, d, v FROM c QUALIFY row_number() OVER (PARTITION BY i, x, d ORDER BY n DESC, v) = 1")
 _W = " * ".join(f"(0.1 + (1 - abs({c} - {h}) / {h}) * 0.95)" for c, h in (("ci", 2.0), ("cx", 2.0), ("cd", 7.5))).replace("0.1 ", "CAST(0.1 AS DOUBLE) ").replace("0.95", "CAST(0.95 AS DOUBLE)")
 add("acc_weighted", lambda s, d: volume.accumulate(_crops(s, d).withColumn("amp", F.col("amp") + F.col("loc_id")), "weighted", crop=CROP), ["vox"], f"WITH {_LOADED} SELECT i, x, d, round(sum({_W} * (amp + loc_id)) / sum({_W}), 6) AS v FROM cr GROUP BY i, x, d")
@@ -181,7 +181,7 @@ add("mistie_solve", lambda s, d: mistie.mistie_solve(edges(s, d)))
 def _sticks(s: SparkSession, d: str) -> DataFrame:
     """Each inline with a dozen suppliers' parts as three sticks of a fault."""
     p = pts(s, d).groupBy("i", "x").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("x % 10 = 0 and hi > lo and i % 10 = 0")
-    n = p.select(F.floor(F.col("i") / 30).cast("string").alias("fault"), F.floor(F.col("i") / 10).alias("stick"), (F.col("i") * 1.0).alias("i"), F.avg(F.col("x") * 1.0).over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("i")).alias("x"), F.explode(F.array("lo", "hi")).alias("d"))
+    n = p.select(F.floor(F.col("i") / 30).cast("string").alias("fault"), F.floor(F.col("i") / 10).alias("stick"), (F.col("i") * 1.0).alias("i"), F.avg(F.col("x") * 1.0).over(Window.partitionBy("i")).alias("x"), F.explode(F.array("lo", "hi")).alias("d"))
     return n.groupBy("fault", "stick", "i", "x").agg(F.min("d").cast("double").alias("a"), F.max("d").cast("double").alias("b")).select("fault", "stick", "i", "x", F.explode(F.array("a", "b")).alias("d"))
 
 
