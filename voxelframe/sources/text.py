@@ -74,5 +74,5 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for p, t in zip(b["path"], b["text"], strict=True) for r in parse(t, p.rsplit("/", 1)[-1].rsplit(".", 1)[0])]
             yield pd.DataFrame(rows, columns=["well", "md", "mnemonic", "value"])
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return files.mapInPandas(run, "well string, md double, mnemonic string, value double")
