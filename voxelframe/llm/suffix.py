@@ -320,7 +320,7 @@ def _repeated_runs(texts: DataFrame, length: int, gram: int, hot: int) -> DataFr
     runs = texts.mapInArrow(_grams(length, gram), "doc_id long, d long, g long, run long, own boolean")
     again = runs.groupBy("g").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("own").alias("own"), F.count("*").alias("n")).where("lo <> hi or own")
     again = again.select("g", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
-    by_doc = runs.select("doc_id", "d", "g", "run").join(again, "g").groupBy("doc_id", "d").agg(F.collect_list(F.struct("run", "g", "parts")).alias("runs"))
+    by_doc = runs.select("doc_id", "d", "g", "run").join(again, "g").groupBy("doc_id", "d").agg(F.collect_set(F.struct("run", "g", "parts")).alias("runs"))
     return by_doc.join(firsts(texts).select("doc_id", "d"), ["doc_id", "d"], "left_semi")
 
 
