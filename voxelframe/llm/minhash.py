@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import discard, documents, free, materialize, mix64, shingle_set, words_of
 from .graph import connected_components
 
+#: Bands of the round that comes first.
+FIRST_BANDS = 4
 SKETCH = "doc_id long, dig binary, n_shingles long, bands array<long>"
 
 
@@ -126,23 +128,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     one = sketch.where("n_shingles > 0").groupBy("dig").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
     reps = materialize(one.select("dig", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "reps")
 
-    banded = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    banded = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "id", "n", F.col("id").alias("c")), "members")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "id", "n", F.col("id").alias("c")), "members")
     sets = materialize(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary").dropDuplicates(["id"]), "sets")
 
     free(docs.sparkSession)
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    links: list[DataFrame] = []
     tried: list[DataFrame] = []
     comp = None
-    for k in range(leaders + 1):
+    for k in range(-1, leaders + 1):  # -1: a few bands, to fold large groups with few links
         if members.isEmpty():
             break
+        left = members.where(F.col("band") < FIRST_BANDS) if k < 0 else members
         if k < leaders:
-            order = F.struct("id", "n", "c") if k == 0 else F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
-            lead = members.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.id").alias("y"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
-            left = members
+            order = F.struct("id", "n", "c") if k <= 0 else F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
+            lead = left.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.id").alias("y"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
         else:
             sized = members.groupBy("bucket", "c").agg(F.count("*").alias("k"))
             largest = sized.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("g")).select("bucket", F.col("g.c").alias("g"))
@@ -153,12 +154,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried.append(pairs)
-        links.append(materialize(_verified(pairs, sets, percent), "links"))
+        if pairs.isEmpty():
+            continue
+        comp = _joined(comp, _verified(pairs, sets, percent))
         free(docs.sparkSession)
-        comp = connected_components(_all(links))
         if k == leaders:
             break
-        placed = members.select("bucket", "id", "n").join(comp.select(F.col("node").alias("id"), F.col("component").alias("x")), "id", "left").select("bucket", "id", "n", F.coalesce("x", "id").alias("c"))
+        placed = members.select("bucket", "band", "id", "n").join(comp.select(F.col("node").alias("id"), F.col("component").alias("x")), "id", "left").select("bucket", "band", "id", "n", F.coalesce("x", "id").alias("c"))
         still = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
         members = materialize(placed.join(still, "bucket"), "members")
     discard(sets)
@@ -172,8 +174,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), (F.col("doc_id") == cid).alias("kept"))
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links`` (a, b), which are first contracted to
+    the components so far: only these are put together."""
+    if comp is None:
+        return materialize(connected_components(links), "components")
+    ends = links
+    for x in ("a", "b"):
+        c = comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_"))
+        ends = ends.join(c, x, "left").withColumn(f"{x}_", F.coalesce(f"{x}_", x))
+    ends = materialize(ends.select("a", "b", "a_", "b_"), "ends")
+    over = materialize(connected_components(ends.select(F.col("a_").alias("a"), F.col("b_").alias("b"))), "components")
+    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return materialize(moved.union(over.join(comp.select("node"), "node", "left_anti").select("node", "component")), "components")
