@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelframe.llm import automaton, editcount, jpeg, packing, quality, queries, secrets, suffix, vptree, wordbpe
+from voxelframe.llm import automaton, editcount, jpeg, minhash, packing, quality, queries, secrets, suffix, vptree, wordbpe
 from voxelframe.llm.graph import connected_components
 from voxelframe.llm.minhash import near_duplicates
 
@@ -64,8 +64,12 @@ def test_near_duplicates(docs, words):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), group[i], group[i] == i)
 
 
-def test_near_duplicates_chain(spark):
-    """A star of texts that are like the centre but not like each other."""
+@pytest.mark.parametrize("dense", [20_000, -1])
+def test_near_duplicates_chain(spark, monkeypatch, dense):
+    """A star of texts that are like the centre but not like each other; dense=-1
+    compares what is left in blocks."""
+    monkeypatch.setattr(minhash, "DENSE", dense)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
     words = [f"v{k}" for k in range(200)]
     rows = [(0, " ".join(words))]
     for k in range(1, 40):
@@ -74,7 +78,7 @@ def test_near_duplicates_chain(spark):
             w[(k * 5 + j * 23) % 200] = f"u{k}_{j}"
         rows.append((k, " ".join(w)))
     _, group = components(rows, 2)
-    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2))
+    got = by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2, leaders=0))
     assert {i: r["component_id"] for i, r in got.items()} == group
 
 

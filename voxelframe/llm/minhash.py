@@ -12,7 +12,9 @@ pre-aggregated minimum. In a bucket, members are compared with one leader, not
 with each other; components are then found, and only buckets whose members
 still lie in different components go on, with another leader. What remains
 after ``leaders`` rounds is compared in full, but only across components and
-never inside the largest component of the bucket. No bucket is capped.
+never inside the largest component of the bucket; large groups of such
+left-overs are compared block against block, by products of incidence
+matrices. No bucket is capped.
 With 5 rows and 32 bands a link of similarity 0.8 is missed with
 probability 3e-6.
 
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 from .common import discard, documents, free, materialize, mix64, shingle_set, words_of
 from .graph import connected_components
 
+#: A group of left-over members with more pairs than this is compared in blocks.
+DENSE = 20_000
+BLOCK_SHINGLES = 20_000
 #: Bands of the round that comes first.
 FIRST_BANDS = 4
 SKETCH = "doc_id long, dig binary, n_shingles long, bands array<long>"
@@ -115,6 +120,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _dense(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Members are grouped by chains of shared buckets. Groups that would give
+    over DENSE pairs are taken out: (the other members, (g, id, n, c) of those
+    or None)."""
+    lowest = members.groupBy("bucket").agg(F.min("id").alias("lo"))
+    groups = materialize(connected_components(members.join(lowest, "bucket").select(F.col("id").alias("a"), F.col("lo").alias("b"))), "groups").select(F.col("node").alias("id"), F.col("component").alias("g"))
+    members = materialize(members.join(groups, "id"), "members")
+    sized = members.groupBy("g", "bucket", "c").agg(F.count("*").alias("k")).groupBy("g", "bucket").agg(F.sum("k").alias("t"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    big = materialize(sized.groupBy("g").agg((F.sum(F.col("t") * F.col("t") - F.col("q")) / 2).alias("w")).where(F.col("w") > DENSE).select("g"), "dense")
+    if big.isEmpty():
+        return members.drop("g"), None
+    return members.join(big, "g", "left_anti").drop("g"), materialize(members.join(big, "g").select("g", "id", "n", "c").distinct(), "dense")
+
+
+BLOCKED = "g long, k int, ids binary, comps binary, ends binary, hashes binary"
+
+
+def _blockwise(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within each group, one for each two
+    components and two blocks. Documents are dealt to blocks of about
+    BLOCK_SHINGLES shingles; two blocks are compared by one product of
+    incidence matrices, so that rows are made for blocks, not for pairs."""
+    count = dense.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = dense.join(count, "g").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        blobs = [x.as_py() for x in t.column("s")]
+        ends = np.cumsum([0] + [len(x) // 8 for x in blobs])
+        return pa.table({"g": t.column("g")[:1].combine_chunks(), "k": t.column("k")[:1].combine_chunks(), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "comps": pa.array([t.column("c").to_numpy().tobytes()], pa.binary()), "ends": pa.array([ends.astype(np.int64).tobytes()], pa.binary()), "hashes": pa.array([b"".join(blobs)], pa.binary())})
+
+    blocks = materialize(dealt.join(sets, "id").select("g", "k", "id", "c", "s").groupBy("g", "k").applyInArrow(pack, BLOCKED), "blocks")
+    two = count.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "blocks").select("g", "k", F.explode(F.sequence("k", F.col("blocks") - 1)).alias("l"))
+    other = blocks.select("g", F.col("k").alias("l"), *(F.col(c).alias(f"{c}2") for c in ("ids", "comps", "ends", "hashes")))
+    n = int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = two.repartition(n, "g", "k", "l").join(blocks, ["g", "k"]).join(other, ["g", "l"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                ids, comps, ends, ids2, comps2, ends2 = (np.frombuffer(row[k].as_py(), np.int64) for k in (0, 1, 2, 4, 5, 6))
+                x, y = np.frombuffer(row[3].as_py(), np.uint64), np.frombuffer(row[7].as_py(), np.uint64)
+                shared = np.intersect1d(x, y)
+                count, count2 = np.diff(ends), np.diff(ends2)
+                a, c = _incidence(x, ends, shared), _incidence(y, ends2, shared)
+                inter = np.rint(a @ c.T).astype(np.int64)
+                hit = (100 * inter >= percent * (count[:, None] + count2[None, :] - inter)) & (comps[:, None] != comps2[None, :])
+                i, j = np.nonzero(hit)
+                pair = np.stack([np.minimum(comps[i], comps2[j]), np.maximum(comps[i], comps2[j])], axis=1)
+                keep = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.empty(0, int)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids2[j])[keep]), pa.array(np.maximum(ids[i], ids2[j])[keep])], ["a", "b"])
+
+    return rows.select("ids", "comps", "ends", "hashes", "ids2", "comps2", "ends2", "hashes2").mapInArrow(compare, "a long, b long")
+
+
+def _incidence(hashes: np.ndarray, ends: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """(documents, shared hashes) of 0 and 1."""
+    out = np.zeros((len(ends) - 1, len(shared)), np.float32)
+    if len(shared):
+        at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+        found = shared[at] == hashes
+        out[np.repeat(np.arange(len(ends) - 1), np.diff(ends))[found], at[found]] = 1
+    return out
+
+
 def _pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -145,9 +214,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
             order = F.struct("id", "n", "c") if k <= 0 else F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
             lead = left.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.id").alias("y"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
         else:
+            members, dense = _dense(members)
+            if dense is not None:
+                comp = _joined(comp, _blockwise(dense, sets, percent))
+                free(docs.sparkSession)
             sized = members.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-            largest = sized.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("g")).select("bucket", F.col("g.c").alias("g"))
-            left = members.join(largest, "bucket").where("c <> g").drop("g")
+            largest = sized.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("g")).select("bucket", F.col("g.c").alias("top"))
+            left = members.join(largest, "bucket").where("c <> top").drop("top")
             lead = members.select("bucket", F.col("id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
         pairs = left.join(lead, "bucket").where(F.expr("id <> y and c <> d") & near).select(*_pair("id", "y")).distinct()
         for t in tried:
