@@ -79,13 +79,17 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
     w = np.zeros(1 << bits)
     if not len(rows) or len(set(grades.tolist())) < 2:
         return OrdinalModel(w.astype(np.float32), np.full(levels - 1, -5.0) + np.arange(levels - 1))
-    every = np.concatenate(rows)
-    of = np.repeat(grades, [len(r) for r in rows])
-    df = np.bincount(every, minlength=1 << bits)
+    by_grade = np.zeros((levels, 1 << bits), np.int64)
+    for at in range(0, len(rows), 500):  # in parts, to bound memory
+        for g in range(levels):
+            some = [r for r, y in zip(rows[at : at + 500], grades[at : at + 500], strict=True) if y == g]
+            if some:
+                by_grade[g] += np.bincount(np.concatenate(some), minlength=1 << bits)
+    df = by_grade.sum(axis=0)
     z = np.zeros(1 << bits)
     for j in range(levels - 1):
-        below, n = np.bincount(every[of == j], minlength=1 << bits), max(1, int((grades == j).sum()))
-        above, m = np.bincount(every[of == levels - 1], minlength=1 << bits), max(1, int((grades == levels - 1).sum()))
+        below, n = by_grade[j], max(1, int((grades == j).sum()))
+        above, m = by_grade[levels - 1], max(1, int((grades == levels - 1).sum()))
         share = (below + above) / (n + m)
         z = np.maximum(z, np.abs(below / n - above / m) / np.sqrt(np.maximum(share * (1 - share) * (1 / n + 1 / m), 1e-12)))
     use = (df >= least_df) & (z >= least_z)
@@ -97,7 +101,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
     first = t[0]
     square, square_t = np.full(1 << bits, 1e-8), np.full(levels - 1, 1e-8)
     rng = np.random.default_rng(seed)
-    for _ in range(max(epochs, -(-steps_least * batch // len(rows)))):
+    for _ in range(max(epochs, -(-steps_least // -(-len(rows) // batch)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             pick = order[at : at + batch]
@@ -141,7 +145,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 12_000
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["i", "g", "f"])
 
     got = sorted(texts.select("i", "g", "text").mapInArrow(run, "i long, g int, f binary").collect(), key=lambda r: (r["i"], r["g"], bytes(r["f"])))
-    return fit_ordinal([np.frombuffer(r["f"], np.uint32) for r in got], np.array([r["g"] for r in got], int), levels)
+    rows, grades = [np.frombuffer(r["f"], np.uint32) for r in got], np.array([r["g"] for r in got], int)
+    del got
+    return fit_ordinal(rows, grades, levels)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
