@@ -267,7 +267,21 @@ def test_automaton(docs, none, tokenizer):
     assert automaton.encode_decode(none, path).count() == 0
 
 
-def test_token_file(spark, docs, none):
+def test_word_encoder(tokenizer, monkeypatch):
+    """Equal to the library on odd texts, also where its memory is small and often turned over."""
+    monkeypatch.setattr(wordbpe, "PIECES", 5)
+    monkeypatch.setattr(wordbpe, "PARTS", 3)
+    path, rng = queries.tokenizer_path(), np.random.default_rng(3)
+    chars = list("aabtsé'' .,-_ÉßªÿµÿN1¼×\n\xa0[]{~/:@`!&(")
+    texts = ["It's a test, isn't it? (yes)", "'tis ''s 't d'e", "~~foo~~ a_b", "<|endoftext|> x", "中文 word."]
+    texts += ["".join(rng.choice(chars, rng.integers(0, 60))) for _ in range(400)]
+    c = automaton.codec(path)
+    for t in texts:
+        want = np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert wordbpe.encode_ids(path, t) == want and c.encode(t)[0] == want
+
+
+def test_token_file(spark, docs, none, tokenizer):
     from voxelframe.llm.common import new_path
 
     path, out = queries.tokenizer_path(), new_path(spark, "t")
@@ -275,7 +289,7 @@ def test_token_file(spark, docs, none):
     got = sorted(queries.read_tokens(spark, out).collect(), key=lambda r: r["start"])
     at = 0
     for r in got:
-        want = wordbpe.encode_ids(path, TEXTS[r["doc_id"]] or "") + np.array([2], "<u4").tobytes()
+        want = np.array([*tokenizer.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r["start"], bytes(r["ids"])) == (at, want)
         at += len(want) // 4
     assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got) and len(got) == docs.count()

@@ -22,18 +22,7 @@ import json
 
 import numpy as np
 
-from .wordbpe import WordEncoder, load_tokenizer
-
-
-def byte_symbols() -> list[str]:
-    """The usual printable stand-ins for the 256 bytes."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out, spare = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(spare)
-            spare += 1
-    return [out[b] for b in range(256)]
+from .wordbpe import WordEncoder, byte_symbols, load_tokenizer
 
 
 class MergeAutomaton:
@@ -122,11 +111,19 @@ class AutomatonCodec:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.library = load_tokenizer(path)  # its normalizer and word rules, for texts beyond Latin-1
-        self.words = WordEncoder(self._piece, self._text)
+        self.words = WordEncoder(self._word, self._piece, self._text, self._joined)
 
     def _result(self, ids: list[int]) -> tuple[bytes, str, int]:
         return np.array(ids, "<u4").tobytes(), " ".join([self.labels[i] for i in ids]), len(ids)
 
+    @staticmethod
+    def _joined(results: list[tuple[bytes, str, int]]) -> tuple[bytes, str, int]:
+        parts = [p for p in results if p[2]]
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+
+    def _word(self, symbols: str) -> tuple[bytes, str, int]:
+        return self._result(self.automaton.encode(symbols))
+
     def _piece(self, piece: str) -> tuple[bytes, str, int]:
         ids: list[int] = []
         for w in self.pattern.findall(piece):
@@ -145,8 +142,7 @@ class AutomatonCodec:
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """(ids as little-endian 32-bit integers, labels joined by spaces, number of ids)."""
-        parts = [p for p in self.words(text) if p[2]]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        return self._joined(self.words(text))
 
     def decode(self, ids: bytes) -> str:
         return " ".join([self.labels[i] for i in np.frombuffer(ids, "<u4").tolist()])

@@ -2,19 +2,25 @@
 
 WordEncoder splits a text at white space and remembers the ids of each piece,
 which is exact because the tokenizer drops white space and no token spans it.
-New pieces go to ``encode_piece``. Texts outside Latin-1, or with control
+A new piece that is one word with punctuation around it is put together from
+these parts, which the tokenizer encodes apart: they are remembered too, and
+new ones go to ``encode_word`` as byte symbols, past the tokenizer's
+normalizer and splitter. Other pieces go to ``encode_piece``. Texts outside Latin-1, or with control
 characters or what may be a special token, take ``encode_text`` as a whole.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 import numpy as np
 
-#: Entries that a worker's memory of pieces may hold before it starts anew.
-REMEMBERED = 300_000
+#: Entries of a generation of a worker's memory; two are kept, and what is used again moves to the newer.
+PIECES, PARTS = 200_000, 100_000
+#: One word with ASCII punctuation before and behind (no apostrophe, which may begin a contraction).
+_WORD = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z\xe0-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _latin_table() -> bytes:
@@ -32,11 +38,41 @@ _LATIN = _latin_table()
 _CONTROL = bytes([*range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), 0xAD])
 
 
+def byte_symbols() -> list[str]:
+    """The usual printable stand-ins for the 256 bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out, spare = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(spare)
+            spare += 1
+    return [out[b] for b in range(256)]
+
+
 class WordEncoder:
-    """Memory of pieces over two encoders. Results are opaque to it."""
+    """Memory of pieces over three encoders. Results are opaque to it; ``joined``
+    makes one of several."""
+
+    def __init__(self, encode_word: Callable, encode_piece: Callable, encode_text: Callable, joined: Callable) -> None:
+        self.encode_word, self.encode_piece, self.encode_text, self.joined = encode_word, encode_piece, encode_text, joined
+        self.symbols = byte_symbols()
+        self.known, self.before, self.parts, self.parts_before = {}, {}, {}, {}
+
+    def _part(self, part: bytes):
+        r = self.parts.get(part)
+        if r is None:
+            r = self.parts_before.get(part)
+            if r is None:
+                r = self.encode_word(part.decode() if part.isascii() else "".join([self.symbols[b] for b in part.decode("latin-1").encode()]))
+            self.parts[part] = r
+        return r
 
-    def __init__(self, encode_piece: Callable, encode_text: Callable) -> None:
-        self.encode_piece, self.encode_text, self.known = encode_piece, encode_text, {}
+    def _piece(self, piece: bytes):
+        r = self.before.get(piece)
+        if r is None:
+            m = _WORD.fullmatch(piece)
+            r = self.joined([self._part(x) for x in m.groups() if x]) if m else self.encode_piece(piece.decode("latin-1"))
+        return r
 
     def __call__(self, text: str) -> list:
         """The results of the pieces of ``text``, in order."""
@@ -46,21 +82,14 @@ class WordEncoder:
             return [self.encode_text(text)]
         if "<|" in text or len(raw.translate(None, _CONTROL)) != len(raw):
             return [self.encode_text(text)]
-        known = self.known
-        pieces = raw.translate(_LATIN).split()
-        try:
-            return [known[p] for p in pieces]
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for p in pieces:
-            r = known.get(p)
-            if r is None:
-                r = known[p] = self.encode_piece(p.decode("latin-1"))
-            out.append(r)
-        return out
+        if len(self.known) > PIECES:
+            self.known, self.before = {}, self.known
+        if len(self.parts) > PARTS:
+            self.parts, self.parts_before = {}, self.parts
+        known, pieces = self.known, raw.translate(_LATIN).split()
+        for p in set(pieces).difference(known):
+            known[p] = self._piece(p)
+        return [known[p] for p in pieces]
 
 
 def load_tokenizer(path: str):
@@ -76,11 +105,15 @@ def load_tokenizer(path: str):
 def library_encoder(path: str) -> WordEncoder:
     """Pieces to little-endian 32-bit ids, by the tokenizers library."""
     t = load_tokenizer(path)
+    tokenize = t.model.tokenize
+
+    def word_ids(symbols: str) -> bytes:
+        return np.array([x.id for x in tokenize(symbols)], "<u4").tobytes()
 
     def ids(text: str) -> bytes:
         return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return WordEncoder(ids, ids)
+    return WordEncoder(word_ids, ids, ids, b"".join)
 
 
 def encode_ids(path: str, text: str) -> bytes:
