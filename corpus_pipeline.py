@@ -22,10 +22,10 @@ CAPACITY = 2048
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose probability of the top grade (neither poor nor toxic) is 1/2 or more."""
+    """Keep documents whose probability of the top grade (neither poor nor toxic) is 0.7 or more."""
     ship(spark)
     model = train(docs, ratings_of(table(spark, sf_dir, "labels")), levels=3)
-    return select_rows(docs, model, level=2, least=0.5)
+    return select_rows(docs, model, level=2, least=0.7)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

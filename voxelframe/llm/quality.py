@@ -70,12 +70,15 @@ class OrdinalModel:
         return _logistic(scores[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_least: int = 2000, epochs: int = 20, batch: int = 256, rate: float = 0.05, l2: float = 1e-5, least_df: int = 4, least_z: float = 5.0, bits: int = BITS, seed: int = 7) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_least: int = 2000, epochs: int = 20, batch: int = 256, rate: float = 1.0, threshold_rate: float = 0.2, l2: float = 1e-5, least_df: int = 4, least_z: float = 5.0, least_phi: float = 0.1, power: float = 1.5, bits: int = BITS, seed: int = 7) -> OrdinalModel:
     """Mini-batch adaptive-gradient descent on the cumulative-link likelihood.
     The thresholds are the first one plus positive steps, so they stay ordered.
-    Features in fewer than ``least_df`` documents, or whose share in no
-    lower grade differs from their share in the top grade by ``least_z`` standard
-    errors or more, keep weight zero."""
+    A feature's strength is the largest phi coefficient between its presence and
+    the top grade against one lower grade. Features in fewer than ``least_df``
+    documents, below ``least_phi``, or not significant by ``least_z`` standard
+    errors, keep weight zero: groups of copies make many words go along with a
+    grade, but weakly. The others enter with value strength ** ``power``, so that
+    strong ones are learned first; values are folded into the weights."""
     w = np.zeros(1 << bits)
     if not len(rows) or len(set(grades.tolist())) < 2:
         return OrdinalModel(w.astype(np.float32), np.full(levels - 1, -5.0) + np.arange(levels - 1))
@@ -86,14 +89,16 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
             if some:
                 by_grade[g] += np.bincount(np.concatenate(some), minlength=1 << bits)
     df = by_grade.sum(axis=0)
-    z = np.zeros(1 << bits)
+    z, phi = np.zeros(1 << bits), np.zeros(1 << bits)
     for j in range(levels - 1):
         below, n = by_grade[j], max(1, int((grades == j).sum()))
         above, m = by_grade[levels - 1], max(1, int((grades == levels - 1).sum()))
         share = (below + above) / (n + m)
-        z = np.maximum(z, np.abs(below / n - above / m) / np.sqrt(np.maximum(share * (1 - share) * (1 / n + 1 / m), 1e-12)))
-    use = (df >= least_df) & (z >= least_z)
-    use[0] = True
+        zs = np.abs(below / n - above / m) / np.sqrt(np.maximum(share * (1 - share) * (1 / n + 1 / m), 1e-12))
+        z, phi = np.maximum(z, zs), np.maximum(phi, zs / np.sqrt(n + m))
+    use = (df >= least_df) & (z >= least_z) & (phi >= least_phi)
+    use[0], phi[0] = True, 1
+    value = np.where(use, phi, 0) ** power
     rows = [r[use[r]] for r in rows]
     share = np.array([np.mean(grades <= j) for j in range(levels - 1)]).clip(0.01, 0.99)
     t = np.log(share / (1 - share))
@@ -108,7 +113,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
             n = np.array([len(rows[i]) for i in pick])
             idx = np.concatenate([rows[i] for i in pick]).astype(np.int64)
             own = np.repeat(np.arange(len(pick)), n)
-            s = np.bincount(own, w[idx], len(pick))
+            s = np.bincount(own, w[idx] * value[idx], len(pick))
             y = grades[pick]
             t = first + np.concatenate([[0], np.cumsum(np.exp(steps))])
             f = _logistic(t[None, :] - s[:, None])
@@ -117,7 +122,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
             p = np.maximum(up - lo, 1e-9)
             g = np.bincount(idx, ((1 - up - lo) / len(y))[own], 1 << bits)
             touched = np.flatnonzero(g)
-            g = g[touched] + l2 * w[touched]
+            g = g[touched] * value[touched] + l2 * w[touched]
             square[touched] += g * g
             w[touched] -= rate * g / np.sqrt(square[touched])
             d = f * (1 - f)
@@ -129,10 +134,10 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
             g_steps = np.array([gt[j + 1 :].sum() * np.exp(steps[j]) for j in range(levels - 2)])
             gt = np.concatenate([[g_first], g_steps])
             square_t += gt * gt
-            move = rate * gt / np.sqrt(square_t)
+            move = threshold_rate * gt / np.sqrt(square_t)
             first -= move[0]
             steps -= move[1:]
-    return OrdinalModel(w.astype(np.float32), first + np.concatenate([[0], np.cumsum(np.exp(steps))]))
+    return OrdinalModel((w * value).astype(np.float32), first + np.concatenate([[0], np.cumsum(np.exp(steps))]))
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:

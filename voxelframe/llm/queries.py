@@ -57,7 +57,7 @@ def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, ratings_of(table(spark, sf_dir, "labels")), levels=3)
-    return grade(docs, model).select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_ge_1"), F.get("tails", F.lit(1)).alias("p_ge_2"), (F.get("tails", F.lit(1)) >= 0.5).alias("keep"))
+    return grade(docs, model).select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_ge_1"), F.get("tails", F.lit(1)).alias("p_ge_2"), (F.get("tails", F.lit(1)) >= 0.7).alias("keep"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
