@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,13 +11,26 @@ def starts(length: int, crop: int, stride: int) -> list[int]:
     return sorted({min(max(v, 0), max(length - crop, 0)) for v in range(0, length, stride)})
 
 
-def regular_grid(spark: SparkSession, shape: tuple[int, int, int], crop: tuple[int, int, int], stride: tuple[int, int, int]) -> DataFrame:
-    """(loc_id, i0, x0, d0, i1, x1, d1), numbered in order of the starts."""
-    a, b, c = (starts(n, k, s) for n, k, s in zip(shape, crop, stride, strict=True))
-    arr = lambda v: F.array(*(F.lit(k).cast("long") for k in v))
-    g = spark.range(1).select(F.explode(arr(a)).alias("i0")).select("*", F.explode(arr(b)).alias("x0")).select("*", F.explode(arr(c)).alias("d0"))
-    place = lambda col, v: F.array_position(arr(v), F.col(col)) - 1
-    n = (place("i0", a) * len(b) + place("x0", b)) * len(c) + place("d0", c)
+def extent(traces: DataFrame) -> DataFrame:
+    """One row (i_lo, i_hi, x_lo, x_hi, d_lo, d_hi): the least box around all samples; ends are exclusive."""
+    n = F.size("samples")
+    t = traces.where((n > 0) & F.col("i").isNotNull() & F.col("x").isNotNull())
+    ends = [f(c).cast("long").alias(f"{c}_{k}") for c in "ix" for k, f in (("lo", F.min), ("hi", lambda c: F.max(c) + 1))]
+    return t.agg(*ends, F.lit(0).cast("long").alias("d_lo"), F.max(n).cast("long").alias("d_hi"))
+
+
+def regular_grid(box: DataFrame, crop: tuple[int, int, int], stride: tuple[int, int, int]) -> DataFrame:
+    """(loc_id, i0, x0, d0, i1, x1, d1), numbered in order of the starts. ``box``
+    is the row of ``extent``, hence the grid covers it whatever its size; a box
+    without traces has no locations. Starts along an axis as in ``starts``."""
+    g = box
+    for k, axis in enumerate("ixd"):
+        last = f"greatest({axis}_hi - {crop[k]}, {axis}_lo)"
+        places = f"array_distinct(transform(sequence({axis}_lo, {axis}_hi - 1, {stride[k]}L), v -> least(v, {last})))"
+        g = g.withColumn(f"_{axis}", F.when(F.col(f"{axis}_hi").isNotNull(), F.expr(places)))
+    for axis in "ixd":
+        g = g.select("*", F.posexplode(f"_{axis}").alias(f"p{axis}", f"{axis}0")).withColumn(f"n{axis}", F.size(f"_{axis}")).drop(f"_{axis}")
+    n = (F.col("pi").cast("long") * F.col("nx") + F.col("px")) * F.col("nd") + F.col("pd")
     return g.select(n.alias("loc_id"), "i0", "x0", "d0", *((F.col(f"{k}0") + crop[j]).alias(f"{k}1") for j, k in enumerate("ixd")))
 
 

@@ -75,16 +75,17 @@ _AX = [grids.starts(n, c, t) for n, c, t in zip(SHAPE, CROP, STRIDE, strict=True
 _GRID = f"g AS (SELECT i0, x0, d0, row_number() OVER (ORDER BY i0, x0, d0) - 1 AS loc_id FROM (SELECT unnest({_AX[0]}) AS i0) CROSS JOIN (SELECT unnest({_AX[1]}) AS x0) CROSS JOIN (SELECT unnest({_AX[2]}) AS d0))"
 
 
-def _grid(s: SparkSession) -> DataFrame:
-    return grids.regular_grid(s, SHAPE, CROP, STRIDE)
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    """Over all traces of the table. The SQL has the extent of 500 vectors (SHAPE), so the two agree at sf0.001 and sf0.01."""
+    return grids.regular_grid(grids.extent(trc(s, d)), CROP, STRIDE)
 
 
-add("regular_grid", lambda s, d: _grid(s), None, None)
+add("regular_grid", lambda s, d: _grid(s, d), None, None)
 ORACLES["regular_grid"] = f"WITH {_GRID} SELECT loc_id, CAST(i0 AS BIGINT) AS i0, CAST(x0 AS BIGINT) AS x0, CAST(d0 AS BIGINT) AS d0, CAST(i0 + 5 AS BIGINT) AS i1, CAST(x0 + 5 AS BIGINT) AS x1, CAST(d0 + 16 AS BIGINT) AS d1 FROM g"
 _points = lambda s, d, name: _named(name)(s, d).select(F.col("i").alias("i0"), F.col("x").alias("x0"), F.col("d").alias("d0"))
 add("grid_union", lambda s, d: grids.union(_points(s, d, "A"), _points(s, d, "N")), ["srf"], f"WITH {ONE} SELECT i AS i0, x AS x0, d AS d0 FROM a UNION SELECT i, x, d FROM n")
 add("new_locations", lambda s, d: grids.unseen(_points(s, d, "A"), _points(s, d, "N")), ["srf"], f"WITH {ONE} SELECT i AS i0, x AS x0, d AS d0 FROM a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.i = a.i AND n.x = a.x AND n.d = a.d)")
-add("grid_chunks", lambda s, d: grids.chunks(_grid(s), CROP[:2], (10, 12), (8, 10)), None, None)
+add("grid_chunks", lambda s, d: grids.chunks(_grid(s, d), CROP[:2], (10, 12), (8, 10)), None, None)
 ORACLES["grid_chunks"] = f"WITH {_GRID} SELECT loc_id, CAST(ki AS BIGINT) AS ki, CAST(kx AS BIGINT) AS kx FROM g CROSS JOIN (SELECT unnest(range(0, 10)) AS ki) CROSS JOIN (SELECT unnest(range(0, 10)) AS kx) WHERE i0 >= ki * 8 AND i0 + 5 <= ki * 8 + 10 AND x0 >= kx * 10 AND x0 + 5 <= kx * 10 + 12"
 add("lines_to_ordinals", lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("line"), F.floor((F.col("l_suppkey") - 7) / 3).alias("ordinal")).distinct(), None, None)
 ORACLES["lines_to_ordinals"] = "SELECT DISTINCT l_suppkey AS line, CAST(floor((l_suppkey - 7) / 3) AS BIGINT) AS ordinal FROM lineitem"
@@ -112,7 +113,7 @@ _INBOX = "i >= 5 AND i < 60 AND x >= 5 AND x < 40"
 add("rasterize", lambda s, d: volume.rasterize(A(s, d), _BOX, 3), ["srf"], f"WITH {ONE} SELECT i, x, CAST(d + k AS BIGINT) AS d FROM a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS k) WHERE {_INBOX} AND d + k >= 10 AND d + k < 40")
 add("regression_mask", lambda s, d: volume.regression_mask(A(s, d), _BOX), ["srf"], f"WITH {ONE} SELECT i, x, round((d - 10) / 30, 6) AS d FROM a WHERE {_INBOX} AND d >= 10 AND d < 40")
 _LOADED = f"{_GRID}, cr AS (SELECT loc_id, v.i, v.x, v.d, v.i - i0 AS ci, v.x - x0 AS cx, v.d - d0 AS cd, amp FROM g JOIN vox v ON v.i >= i0 AND v.i < i0 + 5 AND v.x >= x0 AND v.x < x0 + 5 AND v.d >= d0 AND v.d < d0 + 16)"
-_crops = lambda s, d: volume.load_crops(vox(s, d), _grid(s), CROP)
+_crops = lambda s, d: volume.load_crops(vox(s, d), _grid(s, d), CROP)
 add("crop_load", lambda s, d: _crops(s, d).groupBy("loc_id").agg(F.count("*").alias("n"), F.round(F.sum("amp"), 6).alias("total")), ["vox"], f"WITH {_LOADED} SELECT loc_id, count(*) AS n, round(sum(amp), 6) AS total FROM cr GROUP BY loc_id")
 for how, e in {"max": "max(amp + loc_id)", "mean": "avg(amp + loc_id)", "std": "stddev_pop(amp + loc_id)", "gmean": "exp(avg(ln(abs(amp) + 1 + loc_id)))"}.items():
     value = "abs(amp) + 1 + loc_id" if how == "gmean" else "amp + loc_id"
@@ -120,7 +121,7 @@ for how, e in {"max": "max(amp + loc_id)", "mean": "avg(amp + loc_id)", "std": "
 add("acc_mode", lambda s, d: volume.accumulate(_crops(s, d).withColumn("amp", F.col("loc_id") % 3), "mode"), ["vox"], f"WITH {_LOADED}, c AS (SELECT i, x, d, loc_id % 3 AS v, count(*) AS n FROM cr GROUP BY 1, 2, 3, 4) SELECT i, x, d, v FROM c QUALIFY row_number() OVER (PARTITION BY i, x, d ORDER BY n DESC, v) = 1")
 _W = " * ".join(f"(0.1 + (1 - abs({c} - {h}) / {h}) * 0.95)" for c, h in (("ci", 2.0), ("cx", 2.0), ("cd", 7.5))).replace("0.1 ", "CAST(0.1 AS DOUBLE) ").replace("0.95", "CAST(0.95 AS DOUBLE)")
 add("acc_weighted", lambda s, d: volume.accumulate(_crops(s, d).withColumn("amp", F.col("amp") + F.col("loc_id")), "weighted", crop=CROP), ["vox"], f"WITH {_LOADED} SELECT i, x, d, round(sum({_W} * (amp + loc_id)) / sum({_W}), 6) AS v FROM cr GROUP BY i, x, d")
-add("spatial_check", lambda s, d: grids.crops_with_labels(_grid(s), _peaks(s, d), CROP, 6), ["vox"], f"WITH {_SURF}, {_GRID} SELECT loc_id, count(*) AS n FROM g JOIN u ON u.i >= i0 AND u.i < i0 + 5 AND u.x >= x0 AND u.x < x0 + 5 AND u.d >= d0 AND u.d < d0 + 16 GROUP BY loc_id HAVING count(*) >= 6")
+add("spatial_check", lambda s, d: grids.crops_with_labels(_grid(s, d), _peaks(s, d), CROP, 6), ["vox"], f"WITH {_SURF}, {_GRID} SELECT loc_id, count(*) AS n FROM g JOIN u ON u.i >= i0 AND u.i < i0 + 5 AND u.x >= x0 AND u.x < x0 + 5 AND u.d >= d0 AND u.d < d0 + 16 GROUP BY loc_id HAVING count(*) >= 6")
 
 # --- stencils --------------------------------------------------------------
 _NB = "SELECT c.s, c.i, c.x, c.d AS c, n.d, n.i - c.i AS di, n.x - c.x AS dx FROM srf c JOIN srf n ON n.s = c.s AND n.i BETWEEN c.i - {r} AND c.i + {r} AND n.x BETWEEN c.x - {r} AND c.x + {r}"
