@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from voxelframe.functions import geometry
 from voxelframe.operators import grids
 from voxelframe.plans.catalog import CROP, QUERIES, STRIDE
 
@@ -45,3 +46,24 @@ def test_grid_covers_table(spark, folder, cube):
     for how, f in (("max", max), ("mean", np.mean)):
         acc = {(r["i"], r["x"], r["d"]): r["v"] for r in QUERIES[f"acc_{how}"](spark, folder).collect()}
         assert acc.keys() == values.keys() and all(abs(acc[k] - f(v)) < 1e-5 for k, v in values.items())
+
+
+def test_sticks_from_all_inlines(spark, tmp_path):
+    """No inline here is a multiple of ten; one has a single trace with a single hit."""
+    rng = np.random.default_rng(4)
+    hits = [(int(i), int(x), float(d)) for i in (1, 2, 4, 33, 34, 37) for x, d in zip(rng.integers(11, 17, 9), rng.integers(1, 20, 9), strict=True)] + [(35, 13, 7.0)]
+    spark.createDataFrame([(i, x, d, 0.0, "A") for i, x, d in hits], "l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    stick = {}
+    for i in {h[0] for h in hits}:
+        depths = [d for k, _, d in hits if k == i]
+        x = np.mean(sorted({x for k, x, _ in hits if k == i}))
+        stick[i] = np.array([(i, x, min(depths)), (i, x, max(depths))])
+    want = set()
+    for fault, inlines in (("0", (1, 2, 4)), ("1", (33, 34, 35, 37))):
+        for u, v in zip(inlines[:-1], inlines[1:], strict=True):
+            for t in geometry.strip(stick[u], stick[v]):
+                for p in np.ndindex(40, 20, 22):
+                    if geometry.distance_to_triangle(np.array([p], float), t)[0] <= 0.5:
+                        want.add((fault, *p))
+    got = [tuple(r) for r in QUERIES["sticks_to_points"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {1, 2, 4, 33, 34, 35, 37} <= {p[1] for p in got}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, signal
@@ -180,10 +180,11 @@ add("mistie_solve", lambda s, d: mistie.mistie_solve(edges(s, d)))
 
 
 def _sticks(s: SparkSession, d: str) -> DataFrame:
-    """Each inline with a dozen suppliers' parts as three sticks of a fault."""
-    p = pts(s, d).groupBy("i", "x").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("x % 10 = 0 and hi > lo and i % 10 = 0")
-    n = p.select(F.floor(F.col("i") / 30).cast("string").alias("fault"), F.floor(F.col("i") / 10).alias("stick"), (F.col("i") * 1.0).alias("i"), F.avg(F.col("x") * 1.0).over(Window.partitionBy("i")).alias("x"), F.explode(F.array("lo", "hi")).alias("d"))
-    return n.groupBy("fault", "stick", "i", "x").agg(F.min("d").cast("double").alias("a"), F.max("d").cast("double").alias("b")).select("fault", "stick", "i", "x", F.explode(F.array("a", "b")).alias("d"))
+    """Each inline as a stick of two nodes, at the mean crossline of all its
+    traces and from their least to their greatest depth; thirty inlines a fault."""
+    p = pts(s, d).groupBy("i", "x").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    n = p.groupBy("i").agg(F.avg(F.col("x") * 1.0).alias("x"), F.min("lo").cast("double").alias("a"), F.max("hi").cast("double").alias("b"))
+    return n.select(F.floor(F.col("i") / 30).cast("string").alias("fault"), F.col("i").alias("stick"), (F.col("i") * 1.0).alias("i"), "x", F.explode(F.array("a", "b")).alias("d"))
 
 
 add("sticks_to_points", lambda s, d: geometry.sticks_to_points(_sticks(s, d)))
