@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxelframe.functions import geometry
+from voxelframe.functions import geometry, signal
 from voxelframe.operators import grids
 from voxelframe.plans.catalog import CROP, QUERIES, STRIDE
 
@@ -67,3 +67,30 @@ def test_sticks_from_all_inlines(spark, tmp_path):
                         want.add((fault, *p))
     got = [tuple(r) for r in QUERIES["sticks_to_points"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {1, 2, 4, 33, 34, 35, 37} <= {p[1] for p in got}
+
+
+@pytest.mark.parametrize("lag", [40, -35, 25])
+def test_match_finds_far_shifts(lag):
+    """Traces of 64 samples that overlap in a part; beyond 20 samples nothing was found."""
+    w = np.random.default_rng(5).normal(size=200)
+    shift, _, gain, _ = signal.match(w[70:134], 2 * w[70 + lag : 134 + lag])
+    assert abs(shift - lag) < 0.5 and 0.3 < gain < 0.8
+
+
+def test_match_brute_force():
+    """All shifts of -100..100 by interpolation, traces 0 outside, and the taper of 10 %."""
+    rng = np.random.default_rng(6)
+    for n in (64, 150):
+        for _ in range(5):
+            a, b = rng.normal(size=n), rng.normal(size=n)
+            shifts = np.linspace(-100, 100, 2001)
+            moved = np.stack([np.interp(np.arange(n) - s, np.arange(-1, n + 1), np.pad(b, 1)) for s in shifts])
+            norm = np.sqrt((a * a).sum() * (moved * moved).sum(axis=1))
+            z = signal.analytic(moved @ a / np.where(norm > 1e-9, norm, 1))
+            e, w = np.abs(z), np.hanning(200)
+            tapered = e.copy()
+            tapered[:100] *= w[:100]
+            tapered[-100:] *= w[-100:]
+            k = int(np.argmax(tapered))
+            got = signal.match(a, b)
+            assert np.allclose((got[0], got[1], got[3]), (shifts[k], np.rad2deg(np.angle(z[k])), e[k]), atol=1e-6)

@@ -117,18 +117,31 @@ def lowpass(col, share: float) -> Column:
     return _udf(f)(col)
 
 
-def match(a: np.ndarray, b: np.ndarray, reach: int = 20, step: float = 0.1) -> tuple[float, float, float, float]:
+def match(a: np.ndarray, b: np.ndarray, reach: int = 100, parts: int = 10, taper: float = 0.1) -> tuple[float, float, float, float]:
     """(shift, angle in degrees, gain, correlation) that bring b to a: peak of
-    the envelope of the correlation over shifts, and the phase there."""
-    n = np.arange(len(b))
-    shifts = np.arange(-reach, reach + step / 2, step)
-    moved = np.stack([np.interp(n - s, n, b) for s in shifts])
-    norm = np.sqrt((a * a).sum() * (moved * moved).sum(axis=1))
-    c = (moved @ a) / np.where(norm > 0, norm, 1)
-    z = analytic(c)
-    k = int(np.argmax(np.abs(z)))
+    the envelope of the correlation over shifts -reach..reach by 1 / parts, and
+    the phase there. A Hann taper lowers the envelope over half its share at
+    each end. Outside its samples a trace is 0, hence shifts without overlap
+    have correlation 0. Moved between samples, b is a mix of two whole lags, so
+    that products of whole lags give all shifts."""
+    padded = np.pad(b, (reach + 1, reach + 1))
+    lags = np.lib.stride_tricks.sliding_window_view(padded, len(b))[::-1][1:]  # lags -reach..reach + 1
+    dot, own, next_ = lags @ a, (lags * lags).sum(axis=1), (lags[:-1] * lags[1:]).sum(axis=1)
+    step = np.arange(2 * reach * parts + 1)
+    k, f = step // parts, step % parts / parts
+    k1 = np.minimum(k + 1, len(lags) - 1)
+    energy = (1 - f) ** 2 * own[k] + 2 * f * (1 - f) * next_[np.minimum(k, len(next_) - 1)] + f**2 * own[k1]
+    norm = np.sqrt((a * a).sum() * np.maximum(energy, 0))
+    z = analytic(((1 - f) * dot[k] + f * dot[k1]) / np.where(norm > 0, norm, 1))
+    envelope = np.abs(z)
+    n = int(taper * len(envelope))
+    window = np.ones(len(envelope))
+    if n > 1:
+        hann = np.hanning(n)
+        window[: n // 2], window[-(n // 2) :] = hann[: n // 2], hann[-(n // 2) :]
+    at = int(np.argmax(envelope * window))
     rms = np.sqrt((b * b).mean())
-    return float(shifts[k]), float(np.rad2deg(np.angle(z[k]))), float(np.sqrt((a * a).mean()) / rms) if rms > 0 else 0.0, float(np.abs(z[k]))
+    return float(step[at] / parts - reach), float(np.rad2deg(np.angle(z[at]))), float(np.sqrt((a * a).mean()) / rms) if rms > 0 else 0.0, float(envelope[at])
 
 
 def match_pair(a, b) -> Column:
