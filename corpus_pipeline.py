@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from voxelframe.llm.common import discard, free, materialize, table
 from voxelframe.llm.minhash import near_duplicates
-from voxelframe.llm.packing import pack, word_count
+from voxelframe.llm.packing import pack_tokens
 from voxelframe.llm.quality import ratings_of, select_rows, train
+from voxelframe.llm.queries import tokenizer_path
 from voxelframe.llm.secrets import redact_secrets
 from voxelframe.llm.suffix import cut_repeats
 from voxelframe.session import ship
@@ -53,9 +54,11 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, chunk, n_tokens, bin, offset): the place of each piece."""
+    """(doc_id, chunk, n_tokens, bin, offset): the place of each piece, by tokens
+    and with near copies apart. The texts were cut and redacted since
+    near_dedup, so near copies are sought anew."""
     ship(spark)
-    return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64(F.lower("text")), CAPACITY)
+    return pack_tokens(docs, tokenizer_path(), CAPACITY)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_stage), ("suffix_dedup", repeats_stage), ("secrets", secrets_stage), ("packing", packing_stage)]

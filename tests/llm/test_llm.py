@@ -339,3 +339,19 @@ def test_pipeline(spark, docs, tmp_path):
     cut = by_id(stage["suffix_dedup"](spark, some, str(tmp_path)))
     assert PASSAGE in cut[12]["text"] and PASSAGE not in cut[13]["text"] and cut[14]["text"].startswith("third é")
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in cut.values())
+
+
+def test_packing_tokens(spark, tmp_path, tokenizer):
+    """Lengths are tokens, near copies lie apart, rows without an id stay."""
+    other = " ".join(f"y{k}" for k in range(90))
+    rows = [(1, BASE, "a"), (2, NEAR, "b"), (3, other, "c"), (4, "x9Zq" * 3000, "d"), (None, "three plain words", "e"), (None, BASE, "f"), (2**53 + 1, "one", "g"), (6, None, "h")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    want, got = {}, {}
+    for i, t, _ in rows:
+        want[i] = want.get(i, 0) + len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+    for r in out:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_tokens"]
+    assert got == want and want[4] > 2048
+    at = {r["doc_id"]: r["bin"] for r in out}
+    assert at[1] != at[2] and at[6] is None and all(r["bin"] is not None for r in out if r["doc_id"] is None)

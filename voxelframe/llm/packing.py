@@ -8,11 +8,15 @@ with room, the search goes on to successors until one is compatible; if none
 is, a new bin opens. A document longer than the capacity fills bins of its own
 and its rest is packed like any piece.
 
+``pack_tokens`` counts the tokens of a tokenizer file, and its clusters are the
+components of near copies (five-word shingles, similarity 0.8).
+
 Scale. Rows (no texts) are dealt to shards of about ``shard_rows`` by hashed
 id, whatever their source, so that a hot source is spread evenly; a shard is
 packed by one task and bins don't cross shards.
 
-Cases. Length null or under 1: bin null, chunk 0. Null source or cluster: no
+Cases. Length null or under 1: bin null, chunk 0. A row without an id is packed
+like any other, under a null doc_id; it belongs to no cluster of near copies. Null source or cluster: no
 conflict on it. A repeated row is a further piece (of the same source, hence of
 another bin). An empty table gives no rows.
 """
@@ -25,6 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .minhash import near_duplicates
+from .wordbpe import encode_ids
+
 PLACED = "doc_id long, chunk int, n_tokens long, bin long, offset long"
 
 
@@ -62,13 +70,14 @@ def _bits(values: pd.Series) -> list[int]:
 
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n_tokens", "source", "cluster"], kind="stable", na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["no_id", "doc_id", "n_tokens", "source", "cluster"], kind="stable", na_position="first").reset_index(drop=True)
         repeated = pdf["cluster"].where(pdf["cluster"].duplicated(keep=False))
         source, cluster = _bits(pdf["source"].astype(object).where(pdf["source"].notna(), None)), _bits(repeated.astype(object).where(repeated.notna(), None))
         shard = int(pdf["shard"].iloc[0]) << 32
         rows, pieces, full = [], [], 0
-        for i, n in zip(pdf["doc_id"], pdf["n_tokens"].fillna(0).astype(int), strict=True):
+        for i, null, n in zip(pdf["doc_id"], pdf["no_id"], pdf["n_tokens"].fillna(0).astype(int), strict=True):
             k = len(rows)
+            i = None if null else int(i)
             if n < 1:
                 rows.append([i, 0, 0, None, 0])
                 continue
@@ -94,6 +103,7 @@ def _pack(capacity: int):
             if r[3] is not None:
                 r[3] = shard | (-1 - r[3] if r[3] < 0 else r[3])
         out = pd.DataFrame(rows, columns=["doc_id", "chunk", "n_tokens", "bin", "offset"])
+        out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
         out["bin"] = out["bin"].astype("Int64")
         return out
 
@@ -102,11 +112,30 @@ def _pack(capacity: int):
 
 def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, capacity: int = 2048, shard_rows: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, chunk, n_tokens, bin, offset): where each piece of each document lies."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("n_tokens"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
+    i = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(i, F.lit(0)).alias("doc_id"), i.isNull().alias("no_id"), length.cast("long").alias("n_tokens"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    dealt = F.when(F.col("no_id"), F.xxhash64("n_tokens", "source", "cluster")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.withColumn("shard", F.pmod(dealt, F.lit(shards)))
     return rows.groupBy("shard").applyInPandas(_pack(capacity), PLACED)
 
 
+def pack_tokens(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
+    """``pack`` by tokens of the tokenizer file ``path`` and clusters of near copies."""
+    lengths = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", token_count(F.col("text"), path).alias("n")), "lengths")
+    near = near_duplicates(docs, words=5, threshold=0.8).groupBy("doc_id").agg(F.min("component_id").alias("c"))
+    rows = lengths.where("doc_id is not null").join(near, "doc_id", "left").union(lengths.where("doc_id is null").withColumn("c", F.lit(None).cast("long")))
+    return pack(materialize(rows, "clustered"), F.col("n"), F.col("source"), F.col("c"), capacity)
+
+
+def token_count(text: Column, path: str) -> Column:
+    """Tokens of a text by the tokenizer file ``path``; 0 of a null."""
+
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(encode_ids(path, t)) // 4 if t else 0 for t in texts], dtype="int64")
+
+    return F.pandas_udf(count, "long")(text)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))

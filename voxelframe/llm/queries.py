@@ -10,7 +10,7 @@ from .common import new_path, table
 from .editcount import count_with_edits
 from .jpeg import encode_texts, media_digests
 from .minhash import near_duplicates
-from .packing import pack, word_count
+from .packing import pack_tokens
 from .quality import grade, ratings_of, train
 from .secrets import scan_secrets, spans_string
 from .suffix import drop_repeats
@@ -61,8 +61,7 @@ def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64(F.lower("text")), capacity=2048)
+    return pack_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
 
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
