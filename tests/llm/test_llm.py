@@ -355,3 +355,12 @@ def test_packing_tokens(spark, tmp_path, tokenizer):
     assert got == want and want[4] > 2048
     at = {r["doc_id"]: r["bin"] for r in out}
     assert at[1] != at[2] and at[6] is None and all(r["bin"] is not None for r in out if r["doc_id"] is None)
+
+
+def test_padded_and_url_safe_keys(spark):
+    """Keys with padding, of URL-safe letters or over 64 characters are linked; a ruler and a lone key are not."""
+    keys = ["k9Zq" * 10 + "aB3=", "Q7+/" * 21 + "Ab==", "a-_Z" * 8, "Zz81" * 24]
+    texts = [f"user=deploy uses {k} at https://db.example.com/x" for k in [*keys, "-" * 40]] + [f"only {k} here" for k in keys]
+    got = secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all("[SECRET] uses [SECRET] at [SECRET]" in r["text"] for r in got[: len(keys)])
+    assert [r["text"] for r in got[len(keys) :]] == texts[len(keys) :]

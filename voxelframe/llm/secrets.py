@@ -26,7 +26,7 @@ KINDS = (
     ("access", 0, r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", 1, r"[0-9a-f]{24,}", 0, 24),
     ("id", 2, r"""(?<![A-Za-z0-9_])(?i:client_?id|access_?key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}""", 0, 0),
-    ("key", 3, r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/=_-])", 0, 0),
+    ("key", 3, r"(?<![A-Za-z0-9+/=_-])(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])", 0, 0),
     ("endpoint", 4, r"""(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])""", 0, 0),
 )
 _SPAN = "array<struct<s:int,k:int,e:int,c:int>>"
