@@ -6,6 +6,7 @@ import pytest
 from voxelframe.functions import geometry, signal
 from voxelframe.operators import grids
 from voxelframe.plans.catalog import CROP, QUERIES, STRIDE
+from voxelframe.sources import segy
 
 VECTORS, DEPTH = 710, 70
 
@@ -94,3 +95,27 @@ def test_match_brute_force():
             k = int(np.argmax(tapered))
             got = signal.match(a, b)
             assert np.allclose((got[0], got[1], got[3]), (shifts[k], np.rad2deg(np.angle(z[k])), e[k]), atol=1e-6)
+
+
+def test_segy_files_of_other_heads(spark, tmp_path):
+    """Files of several formats and lengths under one path, each by its own head."""
+    import struct
+
+    kinds = {6: ">f8", 9: ">i8", 10: ">u4", 11: ">u2", 12: ">u8", 16: "u1", 5: ">f4"}
+    want = {}
+    for k, (code, kind) in enumerate(kinds.items()):
+        n = 5 + 3 * k
+        data = np.arange(2 * n).reshape(2, n) + code
+        head = bytearray(segy.BINARY)
+        struct.pack_into(">H", head, 20, n)
+        struct.pack_into(">H", head, 24, code)
+        out = b" " * segy.TEXT + bytes(head)
+        for t, row in enumerate(data):
+            trace = bytearray(segy.HEAD)
+            struct.pack_into(">i", trace, segy.FIELDS["inline"], code)
+            struct.pack_into(">i", trace, segy.FIELDS["crossline"], t)
+            out += bytes(trace) + row.astype(kind).tobytes()
+            want[code, t] = row.astype(float).tolist()
+        (tmp_path / f"{code}.sgy").write_bytes(out)
+    got = {(r["inline"], r["crossline"]): list(r["samples"]) for r in segy.read_segy(spark, str(tmp_path)).collect()}
+    assert got == want

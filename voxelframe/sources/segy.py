@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 TEXT, BINARY, HEAD = 3200, 400, 240
 #: Byte places (from 0) of the trace header fields that are read.
 FIELDS = {"trace_id": 0, "delay": 108, "cdp_x": 180, "cdp_y": 184, "inline": 188, "crossline": 192}
-WIDTH = {1: 4, 2: 4, 3: 2, 5: 4, 8: 1}
+#: Bytes and NumPy type of a sample by format code; 1 is IBM floats.
+WIDTH = {1: 4, 2: 4, 3: 2, 5: 4, 6: 8, 8: 1, 9: 8, 10: 4, 11: 2, 12: 8, 16: 1}
+KIND = {2: ">i4", 3: ">i2", 5: ">f4", 6: ">f8", 8: "i1", 9: ">i8", 10: ">u4", 11: ">u2", 12: ">u8", 16: "u1"}
 TRACES = "inline int, crossline int, trace_id int, cdp_x int, cdp_y int, delay int, samples array<float>"
 
 
@@ -28,30 +30,38 @@ def ibm_to_ieee(raw: np.ndarray) -> np.ndarray:
 def samples_of(raw: bytes, code: int) -> np.ndarray:
     if code == 1:
         return ibm_to_ieee(np.frombuffer(raw, ">u4"))
-    return np.frombuffer(raw, {2: ">i4", 3: ">i2", 5: ">f4", 8: "i1"}[code]).astype(np.float32)
+    return np.frombuffer(raw, KIND[code]).astype(np.float32)
 
 
-def file_head(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """(samples a trace, format code, interval in microseconds) from the file's head."""
-    head = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, {TEXT + 1}, {BINARY})").alias("h")).first()["h"]
+def head_of(head: bytes) -> tuple[int, int, int]:
+    """(samples a trace, format code, interval in microseconds) from a binary header."""
+    if len(head) < BINARY:
+        raise ValueError("SEG-Y file ends within its head")
     interval, = struct.unpack(">H", head[16:18])
     n, = struct.unpack(">H", head[20:22])
     code, = struct.unpack(">H", head[24:26])
+    if code not in WIDTH:
+        raise ValueError(f"SEG-Y format {code} is not read")
     return n, code, interval
 
 
+def file_head(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """``head_of`` the file at ``path``."""
+    return head_of(spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, {TEXT + 1}, {BINARY})").alias("h")).first()["h"])
+
+
 def read_segy(spark: SparkSession, path: str) -> DataFrame:
     """TRACES rows. A file is cut into trace records by Spark's fixed-length
     record reader after its head, which is as long as a whole number of shorter
     records only by chance; so files are read as binary rows, each split into
-    traces by the worker that holds it."""
-    n, code, _ = file_head(spark, path)
-    size = HEAD + n * WIDTH[code]
+    traces, by its own head, by the worker that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column(0):
                 raw = c.as_py()
+                n, code, _ = head_of(raw[TEXT : TEXT + BINARY])
+                size = HEAD + n * WIDTH[code]
                 for at in range(TEXT + BINARY, len(raw), size * 4096):
                     part = raw[at : min(at + size * 4096, len(raw))]
                     rows = np.frombuffer(part[: len(part) // size * size], np.uint8).reshape(-1, size)
