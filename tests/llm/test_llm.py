@@ -22,7 +22,7 @@ SECRET = 'user=deploy at https://db.example.com/x\npassword = "hunter2hunter" AK
 TEXTS = [None, "", "   \n", "one", "one", BASE, BASE, NEAR, BASE.upper(), LONG, "a" * 500, "ab" * 300, PASSAGE + FILL[0], FILL[1] + PASSAGE, "third é " + PASSAGE + PASSAGE + FILL[2], SECRET, "éé <|endoftext|> 中文 don't", "Wher. " * 60]
 ROWS = [(k, t, "en", f"src{k % 3}" if k % 4 else None, None if t is None else len(t)) for k, t in enumerate(TEXTS)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["d", "g", "h1", "spans", "id", "n", "c", "a", "b", "bucket", "i", "v", "bin", "shard", "score", "first"]
+CLASH = ["_d", "_i", "_spans", "level", "rh", "d", "g", "h1", "spans", "id", "n", "c", "a", "b", "bucket", "i", "v", "bin", "shard", "score", "first"]
 
 
 @pytest.fixture(scope="module")
@@ -102,7 +102,7 @@ def brute_repeats(texts, length):
 
 @pytest.mark.parametrize("hot", [512, 1])
 def test_suffix(docs, hot):
-    """hot=1 salts every gram, so that the comparison across parts is used too."""
+    """hot=1 deals crowded grams anew by wider ones."""
     want = brute_repeats([(r[0], r[1]) for r in ROWS], 100)
     out = suffix.drop_repeats(docs, 100, hot=hot)
     assert out.count() == docs.count()
@@ -111,19 +111,42 @@ def test_suffix(docs, hot):
 
 
 def test_suffix_arrays():
+    """Longest previous factors against a search of all earlier starts."""
     rng = np.random.default_rng(5)
     for _ in range(50):
-        x = rng.integers(0, 3, rng.integers(12, 300)).astype(np.uint8)
-        for length in (4, 9, 12):
-            starts = np.arange(len(x) - length + 1)
-            raw, seen = x.tobytes(), set()
-            want = [raw[p : p + length] in seen or bool(seen.add(raw[p : p + length])) for p in starts]
-            assert suffix.earlier(x, starts, length).tolist() == want
-        v = rng.permutation(len(x))
-        psv, nsv = suffix.smaller_neighbours(v)
-        for k in range(len(v)):
-            assert psv[k] == max((j for j in range(k) if v[j] < v[k]), default=-1)
-            assert nsv[k] == min((j for j in range(k + 1, len(v)) if v[j] < v[k]), default=len(v))
+        x = rng.integers(0, 3, rng.integers(12, 200)).astype(np.uint8)
+        raw = x.tobytes()
+        for length in (4, 9, 12, 30):
+            starts = np.arange(max(0, len(x) - length + 1))
+            want = []
+            for p in starts:
+                n = 0
+                while n < length and any(raw[q : q + n + 1] == raw[p : p + n + 1] for q in starts[:p]):
+                    n += 1
+                want.append(n)
+            assert suffix.longest_previous_factors(x, starts, length).tolist() == want
+            assert suffix.earlier(x, starts, length).tolist() == [n == length for n in want]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 4096])
+def test_suffix_random(spark, hot):
+    """Texts of a few shared pieces: grams with many different contexts."""
+    rng = np.random.default_rng(8)
+    bits = ["".join(rng.choice(list("abcd "), 40)) for _ in range(12)] + ["z" * 130, "yx" * 70]
+    rows = [(int(k), "".join(rng.choice(bits, rng.integers(0, 9)))) for k in range(60)]
+    want = brute_repeats(rows, 100)
+    out = by_id(suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, hot=hot))
+    for i, r in out.items():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[i]
+
+
+def test_suffix_boilerplate(spark):
+    """One passage in 2000 documents comes to the suffix arrays with few runs."""
+    rows = [(k, f"{k * 7919} {k * 104729} {k * 15485863} {PASSAGE * 2}{k * 32452843} {k * 49979687}") for k in range(2000)]
+    out = by_id(suffix.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, hot=64))
+    for i, want in brute_repeats(rows, 100).items():
+        assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["n_spans"], bytes(out[i]["kept"])) == want
+    assert all(r["n_removed"] >= 2 * len(PASSAGE) for i, r in out.items() if i)
 
 
 def test_secrets(docs):
