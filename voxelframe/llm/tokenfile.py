@@ -5,7 +5,7 @@ order: part and block (its place), dict_hash, width (bytes of an id), ids and
 counts of its documents, offsets (n + 1) into data, where each document's id
 array is one zstandard frame made with the shared dictionary. A document is
 read by its offsets alone. The dictionary lies beside the blocks as a table
-(hash, bytes) and is trained on at most ``sample`` documents' arrays.
+(hash, bytes) and is trained on the whole arrays of at most ``sample`` documents.
 
 Scale. Texts are encoded once, where they are read; only compressed frames are
 range-partitioned by id. Starts are sums within a part's blocks plus the totals
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import discard, documents, free, materialize
-from .wordbpe import encode_ids
+from .wordbpe import encode_ids, load_tokenizer
 
 BLOCKS = "part int, block int, dict_hash string, width int, ids array<long>, counts array<int>, offsets array<int>, data binary"
 #: A block ends after so many documents or bytes.
@@ -40,15 +40,17 @@ def _pack_ids(raw: bytes, width: int) -> bytes:
     return np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
 
 
-def train_dictionary(docs: DataFrame, path: str, end: int, width: int, sample: int, size: int = 64_000, longest: int = 16_384) -> bytes:
-    """A dictionary from the id arrays of at most ``sample`` documents, chosen by
-    hashed id; of each at most ``longest`` bytes serve."""
-    every = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(sample)
+def train_dictionary(docs: DataFrame, path: str, width: int, sample: int, size: int = 64_000, piece: int = 16_384) -> bytes:
+    """A dictionary from the id arrays of at most ``sample`` documents, those of
+    smallest hashed id. Whole arrays serve, cut into pieces of ``piece`` bytes."""
+    every = max(1, docs.count() // (2 * sample))
+    h = F.xxhash64("doc_id")
+    some = docs.where(F.pmod(h, F.lit(every)) == 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", F.xxhash64("text")).limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack_ids(encode_ids(path, t.as_py()), width)[:longest] for t in b.column(1)], pa.binary())], ["s"])
+            arrays = [_pack_ids(encode_ids(path, t.as_py()), width) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k : k + piece] for x in arrays for k in range(0, max(1, len(x)), piece)], pa.binary())], ["s"])
 
     samples = sorted(bytes(r["s"]) for r in some.mapInArrow(run, "s binary").collect())
     try:
@@ -102,12 +104,13 @@ def _blocks(dict_hash: str, width: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, vocab: int = 49_408, sample: int = 2000, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the blocks to ``out``/blocks and the dictionary to ``out``/dictionary."""
+def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int = 2, sample: int = 2000, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the blocks to ``out``/blocks and the dictionary to ``out``/dictionary.
+    Ids take two bytes, or four if the tokenizer's or ``end`` needs them."""
     spark = docs.sparkSession
     texts = documents(docs, id_col, text_col)
-    width = 2 if vocab <= 65_536 else 4
-    dictionary = train_dictionary(texts, tokenizer, end, width, sample)
+    width = 2 if max(end, *load_tokenizer(tokenizer).get_vocab().values()) < 65_536 else 4
+    dictionary = train_dictionary(texts, tokenizer, width, sample)
     spark.createDataFrame([(_hash(dictionary), bytearray(dictionary))], "hash string, bytes binary").coalesce(1).write.parquet(f"{out}/dictionary")
     frames = materialize(texts.mapInArrow(_frames(tokenizer, end, width, dictionary, level), "doc_id long, n int, frame binary"), "frames")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

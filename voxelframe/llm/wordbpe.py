@@ -5,13 +5,16 @@ which is exact because the tokenizer drops white space and no token spans it.
 A new piece that is one word with punctuation around it is put together from
 these parts, which the tokenizer encodes apart: they are remembered too, and
 new ones go to ``encode_word`` as byte symbols, past the tokenizer's
-normalizer and splitter. Other pieces go to ``encode_piece``. Texts outside Latin-1, or with control
-characters or what may be a special token, take ``encode_text`` as a whole.
+normalizer and splitter. Other pieces go to ``encode_piece``. Texts outside
+Latin-1, or with control characters or what may be a special token, take
+``encode_text`` as a whole, and so do all texts for a tokenizer file with
+another normalizer or splitter than ``splits_words`` looks for.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Callable
 
@@ -49,11 +52,29 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+#: Fixed values of the tokenizer file: how it splits words, and what it does before.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BEFORE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def splits_words(path: str) -> bool:
+    """Whether the file drops white space, lowers letters and splits words as WordEncoder takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if (spec["normalizer"] or {}).get("normalizers") != BEFORE or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return False
+    split, level = steps
+    special = all(a["content"].startswith("<|") and not (a["lstrip"] or a["rstrip"] or a["normalized"]) for a in spec["added_tokens"])
+    return special and split["pattern"] == {"Regex": SPLIT} and split["behavior"] == "Removed" and split["invert"] and not level["add_prefix_space"] and not level["use_regex"]
+
+
 class WordEncoder:
     """Memory of pieces over three encoders. Results are opaque to it; ``joined``
-    makes one of several."""
+    makes one of several. Without ``words`` every text is encoded as a whole."""
 
-    def __init__(self, encode_word: Callable, encode_piece: Callable, encode_text: Callable, joined: Callable) -> None:
+    def __init__(self, encode_word: Callable, encode_piece: Callable, encode_text: Callable, joined: Callable, words: bool = True) -> None:
+        self.words = words
         self.encode_word, self.encode_piece, self.encode_text, self.joined = encode_word, encode_piece, encode_text, joined
         self.symbols = byte_symbols()
         self.known, self.before, self.parts, self.parts_before = {}, {}, {}, {}
@@ -76,6 +97,8 @@ class WordEncoder:
 
     def __call__(self, text: str) -> list:
         """The results of the pieces of ``text``, in order."""
+        if not self.words:
+            return [self.encode_text(text)]
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
@@ -113,7 +136,7 @@ def library_encoder(path: str) -> WordEncoder:
     def ids(text: str) -> bytes:
         return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return WordEncoder(word_ids, ids, ids, b"".join)
+    return WordEncoder(word_ids, ids, ids, b"".join, splits_words(path))
 
 
 def encode_ids(path: str, text: str) -> bytes:
