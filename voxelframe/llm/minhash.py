@@ -20,7 +20,8 @@ probability 3e-6.
 
 Cases. Null or empty texts and texts without words have an empty set and are
 linked with nothing. Rows without an id take no part. A repeated row is
-answered once for each time it occurs. Shingle sets are compared by 64-bit
+answered once for each time it occurs. Rows with one id and different texts
+are one document with several texts: it is linked by any of them. Shingle sets are compared by 64-bit
 hashes of their shingles.
 """
 
@@ -89,8 +90,9 @@ def _sketches(words: int, rows: int, bands: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs = [shingle_set(words_of(t.as_py()), words).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["id", "s"])
+            split = [words_of(t.as_py()) for t in b.column(1)]
+            dig = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in split]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(w, words).tobytes() for w in split], pa.binary()), pa.array(dig, pa.binary())], ["id", "s", "dig"])
 
     return run
 
@@ -200,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = materialize(banded.join(shared, "bucket").select("bucket", "band", "id", "n", F.col("id").alias("c")), "members")
-    sets = materialize(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary").dropDuplicates(["id"]), "sets")
+    sets = materialize(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary, dig binary").dropDuplicates(["id", "dig"]).select("id", "s"), "sets")
 
     free(docs.sparkSession)
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
