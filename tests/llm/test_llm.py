@@ -178,17 +178,19 @@ def test_vp_tree(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 12))
     x[50:80] = x[10]
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12), (1003, [None] + [1.0] * 11), (1004, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1))
-    index = vptree.build_index(df, shard_rows=150, leaf=16)
+    odd = [(2000 + k, v.tolist()) for k, v in enumerate(rng.normal(size=(30, 5)))]  # of another length
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + odd + [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12), (1003, [None] + [1.0] * 11), (1004, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(1)).withColumn("dims", F.lit("a"))
+    index = vptree.build_index(df, shard_rows=150, leaf=40)
     q = df.where("vec_id % 20 = 0")
     got = {}
-    for r in vptree.search(index, q, 20).collect():
+    for r in vptree.search(index, q.union(q), 20, block=7, group=11).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
-    for i in range(0, 600, 20):
-        s = vptree.scores_of(x[i : i + 1], x)[0]
-        want = sorted((k for k in range(600) if k != i), key=lambda k: (-s[k], k))[:20]
-        assert [v for _, v in sorted(got[i])] == want
+    for base, y in ((0, x), (2000, np.array([v for _, v in odd]))):
+        for i in range(0, len(y), 20):
+            s = vptree.scores_of(np.repeat(y[i : i + 1], len(y), 0), y)
+            want = sorted((k for k in range(len(y)) if k != i), key=lambda k: (-s[k], k))[:20]
+            assert [v - base for _, v in sorted(got[base + i])] == want
     exact = {(i, v) for i, rs in got.items() for _, v in rs}
     near = {(r["query_id"], r["vec_id"]) for r in vptree.search(index, q, 20, factor=1.3).collect()}
     assert len(exact & near) / len(exact) >= 0.9
