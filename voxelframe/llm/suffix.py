@@ -393,13 +393,17 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 24, hot: int =
     again = materialize(again.select("g", "k", (F.expr("a <> b") | F.col("own")).alias("many")), "again")
     free(spark)
     repeated = materialize(_joined(runs.where("n > 0"), again, SHARE).select("doc_id", "d", "lo", "hi", "g", "rh", F.col("many").alias("own")), "repeated")
+    whole = materialize(_events(runs.where("n = 0"), 0, False), "whole")
+    discard(runs)
+    discard(again)
     free(spark)
     first = materialize(_firsts(repeated), "firsts")
-    events = [_events(runs.where("n = 0"), 0, False), _events(repeated, 1, False), _events(first, 1, True)]
+    free(spark)
+    events = [whole, _events(repeated, 1, False), _events(first, 1, True)]
     many = first.where("own")
     by_doc = many.groupBy("doc_id", "d").agg(F.collect_list(F.struct("lo", "hi", "g")).alias("runs"))
     pieces = texts.join(by_doc, ["doc_id", "d"]).select("doc_id", "d", "text", "runs").mapInArrow(_pieces(length), PIECES)
-    tables = [runs, again, repeated, first]
+    tables = [whole, repeated, first]
     crowded = materialize(many.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > hot), "crowded")
     tables.append(crowded)
     if crowded.isEmpty():
