@@ -28,9 +28,10 @@ def distribute(a: np.ndarray, b: np.ndarray, m: np.ndarray, nodes: np.ndarray, r
     return x, float(np.sqrt(np.mean((m - (x[ia] - x[ib])) ** 2))) if len(m) else 0.0, k
 
 
-def mistie_solve(edges: DataFrame, group: str | None = None) -> DataFrame:
-    """Corrections of the nodes of each group of lines (a, b, m). A group is one
-    survey; its graph of line crossings is solved by one task."""
+def mistie_solve(edges: DataFrame, group: str | None = None, most: int = 1_000_000) -> DataFrame:
+    """Corrections of the nodes of lines (a, b, m). With ``group`` each survey is
+    solved by one task; without, all edges are one survey: up to ``most`` of
+    them by one task, more by updates over the cluster."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -39,9 +40,34 @@ def mistie_solve(edges: DataFrame, group: str | None = None) -> DataFrame:
         x, rms, k = distribute(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["m"].to_numpy(float), nodes)
         return pd.DataFrame({"node": nodes, "correction": x, "residual_rms": rms, "iterations": k})
 
+    if not group and edges.count() > most:
+        return solve_by_updates(edges)
     return edges.withColumn("_group", F.col(group) if group else F.lit(0)).groupBy("_group").applyInPandas(run, SOLVED)
 
 
+def residual_rms(edges: DataFrame, corrections: DataFrame) -> float:
+    c = corrections
+    j = edges.join(c.select(F.col("node").alias("a"), F.col("correction").alias("xa")), "a").join(c.select(F.col("node").alias("b"), F.col("correction").alias("xb")), "b")
+    return j.agg(F.sqrt(F.avg(F.pow(F.col("m") - (F.col("xa") - F.col("xb")), 2)))).first()[0] or 0.0
+
+
+def solve_by_updates(edges: DataFrame, rate: float = 0.75, most: int = 100, tolerance: float = 1e-5) -> DataFrame:
+    """The same updates as ``distribute``, each a join and a pre-aggregated mean,
+    cut by a checkpoint; they stop when the residual hardly falls."""
+    from ..session import cut
+
+    edges = cut(edges.select("a", "b", "m"))
+    last = edges.agg(F.sqrt(F.avg(F.col("m") * F.col("m")))).first()[0] or 0.0
+    x, rms, k = None, last, 0
+    for k in range(1, most + 1):
+        x = cut(jacobi_step(edges, x, rate))
+        rms = residual_rms(edges, x)
+        if last - rms <= tolerance * max(last, 1e-300):
+            break
+        last = rms
+    return x.select("node", "correction", F.lit(rms).alias("residual_rms"), F.lit(k).cast("long").alias("iterations"))
+
+
 def jacobi_step(edges: DataFrame, corrections: DataFrame | None, rate: float = 0.75) -> DataFrame:
     """(node, correction) after one update, for graphs too large for a task."""
     both = edges.select("a", "b", "m").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("m")).alias("m")))

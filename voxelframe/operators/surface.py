@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stencil
+
 TRACE = ["i", "x"]
 
 
@@ -37,7 +40,9 @@ def compare(a: DataFrame, b: DataFrame, interval: float = 2.0) -> DataFrame:
 
 
 def closest(surfaces: DataFrame, key: str = "s") -> DataFrame:
-    """For each surface the other of least mean absolute difference (ties: smaller name)."""
+    """For each surface the other of least mean absolute difference (ties: smaller
+    name). All pairs of surfaces that share a trace are compared, as their
+    differences are what is asked for; surfaces are few, traces many."""
     a, b = surfaces.select(*TRACE, F.col(key).alias("a"), F.col("d").alias("da")), surfaces.select(*TRACE, F.col(key).alias("b"), F.col("d").alias("db"))
     m = a.join(b, TRACE).where("a <> b").groupBy("a", "b").agg(F.round(F.avg(F.abs(F.col("da") - F.col("db"))), 6).alias("m"))
     best = m.groupBy("a").agg(F.min(F.struct("m", "b")).alias("k"))
@@ -103,13 +108,14 @@ def carcass_lines(surfaces: DataFrame, by: str = "s", threshold: int = 20) -> Da
 
 
 def thin_out(surfaces: DataFrame, by: str = "s", factor: int = 2, threshold: int = 20) -> DataFrame:
-    """Points on every ``factor``-th of the lines that have more than ``threshold`` points, along either axis."""
-    keep = []
+    """Points on every ``factor``-th of the lines that have more than
+    ``threshold`` points, along either axis."""
+    out = surfaces.select(by, *TRACE, "d")
     for axis in TRACE:
-        lines = surfaces.groupBy(by, axis).agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+        lines = surfaces.groupBy(by, axis).agg(F.count("*").alias("_n")).where(F.col("_n") > threshold)
         k = F.row_number().over(Window.partitionBy(by).orderBy(axis)) - 1
-        keep.append(surfaces.join(lines.withColumn("k", k).where(F.col("k") % factor == 0).select(by, axis), [by, axis], "left_semi").select(by, *TRACE, "d"))
-    return keep[0].union(keep[1]).distinct()
+        out = out.join(lines.select(by, axis, (k % factor == 0).alias(f"_on_{axis}")), [by, axis], "left")
+    return out.where(F.coalesce("_on_i", F.lit(False)) | F.coalesce("_on_x", F.lit(False))).select(by, *TRACE, "d")
 
 
 def on_grid(surfaces: DataFrame, frequency: tuple[int, int]) -> DataFrame:
@@ -125,15 +131,6 @@ def keep_masked(points: DataFrame, mask: DataFrame) -> DataFrame:
     return points.join(mask.select(*TRACE), TRACE, "left_semi")
 
 
-def neighbours(rows: DataFrame, by: list[str], reach_i: int = 1, reach_x: int = 1) -> DataFrame:
-    """Each row once for each neighbour of its trace that may be absent:
-    (by, i, x of the centre, di, dx, d of the neighbour). A small stencil as one
-    shuffle: rows are sent to the centres they belong to and grouped there."""
-    off = lambda n: F.sequence(F.lit(-n), F.lit(n))
-    e = rows.select(*by, *TRACE, "d", F.explode(off(reach_i)).alias("di")).select("*", F.explode(off(reach_x)).alias("dx"))
-    return e.select(*by, (F.col("i") - F.col("di")).alias("i"), (F.col("x") - F.col("dx")).alias("x"), "di", "dx", "d")
-
-
 def gradient(surfaces: DataFrame, by: str, axis: str) -> DataFrame:
     """Difference to the preceding trace along ``axis`` (null where absent)."""
     other = "x" if axis == "i" else "i"
@@ -144,42 +141,54 @@ def gradient(surfaces: DataFrame, by: str, axis: str) -> DataFrame:
 
 def boundary(surfaces: DataFrame, by: str) -> DataFrame:
     """Points with an absent 8-neighbour."""
-    n = neighbours(surfaces, [by]).groupBy(by, *TRACE).agg(F.count("*").alias("n"), F.max(F.when((F.col("di") == 0) & (F.col("dx") == 0), F.col("d"))).alias("d"))
-    return n.where("d is not null and n < 9").select(by, *TRACE, "d")
+    f = lambda a: np.where(np.isfinite(stencil.neighbourhood(a, 1, 1)).all(axis=0), np.nan, a)
+    return stencil.by_tiles(surfaces, [by], f, 1).withColumn("d", _long(F.col("d")))
 
 
 def dilate(surfaces: DataFrame, by: str, times: int = 1) -> DataFrame:
     """Largest depth within ``times`` traces, also where there was none."""
-    return neighbours(surfaces, [by], times, times).groupBy(by, *TRACE).agg(F.max("d").alias("d"))
+    f = lambda a: np.where(np.isnan(n := stencil.neighbourhood(a, times, times)), -np.inf, n).max(axis=0)
+    return stencil.by_tiles(surfaces, [by], f, times).withColumn("d", _long(F.col("d")))
 
 
-def smooth(surfaces: DataFrame, by: str, kernel: list[list[float]], max_difference: float | None = None, sigma_range: float | None = None) -> DataFrame:
+def smooth(surfaces: DataFrame, by: str, kernel: list[list[float]], max_difference: float | None = None, sigma_range: float | None = None, times: int = 1) -> DataFrame:
     """Normalised kernel over present neighbours, those farther than
     ``max_difference`` left out; with ``sigma_range`` also weighted by a
-    Gaussian of the difference (bilateral)."""
-    ri, rx = len(kernel) // 2, len(kernel[0]) // 2
-    k = F.element_at(F.array(*(F.lit(float(v)) for row in kernel for v in row)), (F.col("di") + ri) * (2 * rx + 1) + F.col("dx") + rx + 1)
-    n = neighbours(surfaces, [by], ri, rx).withColumn("k", k)
-    centre = surfaces.select(by, *TRACE, F.col("d").alias("c"))
-    j = n.join(centre, [by, *TRACE])
-    gap = F.col("d") - F.col("c")
-    if max_difference is not None:
-        j = j.where(F.abs(gap) <= max_difference)
-    w = F.col("k") * F.exp(-(gap * gap) / (2.0 * sigma_range * sigma_range)) if sigma_range else F.col("k")
-    return j.groupBy(by, *TRACE).agg(F.round(F.sum(w * F.col("d")) / F.sum(w), 6).alias("d"))
+    Gaussian of the difference (bilateral); ``times`` passes."""
+    k = np.array(kernel, float)
+
+    def f(a: np.ndarray) -> np.ndarray:
+        for _ in range(times):
+            a = stencil.kernel_mean(a, k, max_difference, sigma_range)
+        return a
+
+    return stencil.by_tiles(surfaces, [by], f, max(k.shape) // 2 * times).withColumn("d", F.round("d", 6))
 
 
 def median_difference(surfaces: DataFrame, by: str, reach: int = 2) -> DataFrame:
-    """Depth less the median of the neighbourhood (the point itself not counted)."""
-    n = neighbours(surfaces, [by], reach, reach)
-    g = n.groupBy(by, *TRACE).agg(F.max(F.when((F.col("di") == 0) & (F.col("dx") == 0), F.col("d"))).alias("c"), F.median(F.when((F.col("di") != 0) | (F.col("dx") != 0), F.col("d"))).alias("m"))
-    return g.where("c is not null").select(by, *TRACE, (F.col("c") - F.col("m")).alias("diff"))
+    """Depth less the median of the neighbourhood (the point itself not counted); null for a lone point."""
+    lone = 1e300  # stands for null within the tiles
+
+    def f(a: np.ndarray) -> np.ndarray:
+        m = stencil.median_of_others(a, reach)
+        return np.where(np.isfinite(m), a - m, np.where(np.isfinite(a), lone, np.nan))
+
+    return stencil.by_tiles(surfaces, [by], f, reach, name="diff").withColumn("diff", F.when(F.col("diff") != lone, F.col("diff")))
 
 
 def fill_missing(surfaces: DataFrame, by: str, least_neighbours: int = 3, max_ptp: float | None = None) -> DataFrame:
     """Mean of 3 x 3 neighbours for traces that are absent and have enough of them."""
-    g = neighbours(surfaces, [by]).groupBy(by, *TRACE).agg(F.count("*").alias("n"), F.max(((F.col("di") == 0) & (F.col("dx") == 0)).cast("int")).alias("own"), F.avg("d").alias("m"), (F.max("d") - F.min("d")).alias("ptp"))
-    g = g.where((F.col("own") == 0) & (F.col("n") >= least_neighbours))
-    if max_ptp is not None:
-        g = g.where(F.col("ptp") <= max_ptp)
-    return g.select(by, *TRACE, F.round("m", 6).alias("d"))
+    f = lambda a: np.where(np.isfinite(a), np.nan, stencil.filled(a, np.ones((3, 3)), least_neighbours, max_ptp))
+    return stencil.by_tiles(surfaces, [by], f, 1).withColumn("d", F.round("d", 6))
+
+
+def interpolate(surfaces: DataFrame, by: str, kernel: list[list[float]], least_neighbours: int = 1, max_ptp: float | None = None, times: int = 1) -> DataFrame:
+    """Absent traces from their weighted neighbours, ``times`` passes; present ones stay."""
+    k = np.array(kernel, float)
+
+    def f(a: np.ndarray) -> np.ndarray:
+        for _ in range(times):
+            a = stencil.filled(a, k, least_neighbours, max_ptp)
+        return a
+
+    return stencil.by_tiles(surfaces, [by], f, max(k.shape) // 2 * times).withColumn("d", F.round("d", 6))

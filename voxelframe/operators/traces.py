@@ -22,12 +22,27 @@ def correlation(a: str, b: str, sa: str, sb: str) -> Column:
     return F.when((F.col(sa) > 0) & (F.col(sb) > 0), dot / (F.col(sa) * F.col(sb)))
 
 
+def find_supports(traces: DataFrame, n: int = 100, seed: int = 0, strip: int = 0) -> DataFrame:
+    """The ``n`` reference traces of smallest hash of (seed, i, x) among those
+    that are not constant and lie ``strip`` inside the frame: the same in every run."""
+    t = centred(traces).where("sd > 0").drop("z", "sd")
+    if strip:
+        box = t.agg(*(f(c).alias(f"_{c}{k}") for c in "ix" for k, f in enumerate((F.min, F.max))))
+        t = t.join(F.broadcast(box)).where(f"i >= _i0 + {strip} and i <= _i1 - {strip} and x >= _x0 + {strip} and x <= _x1 - {strip}").drop("_i0", "_i1", "_x0", "_x1")
+    return t.orderBy(F.md5(F.concat_ws(",", F.lit(seed), "i", "x")), "i", "x").limit(n)
+
+
 def support_correlation(traces: DataFrame, supports: DataFrame) -> DataFrame:
-    """Mean correlation of each trace with the supports, a set of at most some
-    hundred traces that is broadcast."""
+    """Mean correlation of each trace with the supports. The mean of the
+    products is the product with the mean, so that the supports, however many,
+    come to one normalised trace, which is broadcast; no pairs are formed.
+    Constant supports don't count."""
     t = centred(traces).select("i", "x", "z", "sd")
-    s = centred(supports).select(F.col("z").alias("zs"), F.col("sd").alias("ss"))
-    return t.join(F.broadcast(s)).groupBy("i", "x").agg(F.round(F.avg(correlation("z", "zs", "sd", "ss")), 6).alias("corr"))
+    s = centred(supports).where("sd > 0").select("sd", F.posexplode("z").alias("k", "v"))
+    mean = s.groupBy("k").agg(F.avg(F.col("v") / F.col("sd")).alias("m"))
+    one = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda c: c["m"]).alias("m"))
+    dot = _sum(F.zip_with("z", "m", lambda a, b: a * b)) / F.size("z")
+    return t.join(F.broadcast(one)).select("i", "x", F.round(F.when(F.col("sd") > 0, dot / F.col("sd")), 6).alias("corr"))
 
 
 def local_correlation(traces: DataFrame, reach: int = 1) -> DataFrame:

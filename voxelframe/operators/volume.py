@@ -11,11 +11,47 @@ def stats(voxels: DataFrame, by: list[str]) -> DataFrame:
     return voxels.groupBy(*by).agg(F.count("*").alias("n"), F.min("amp").alias("min"), F.max("amp").alias("max"), F.round(F.avg("amp"), 6).alias("mean"), F.round(F.stddev_pop("amp"), 6).alias("std"))
 
 
+def order_statistics(rows: DataFrame, column: str, ranks: list[int], buckets: int = 4096) -> dict[int, float]:
+    """The values of the given ranks (from 0) among those that aren't null.
+    Each rank's interval is cut into buckets, counted by a pre-aggregated
+    groupBy, and narrowed to the least and largest value of its bucket until
+    these are equal: a few passes over the data, no sort and no large task."""
+    v = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    ends = v.agg(F.min("v"), F.max("v")).first()
+    state = {r: (ends[0], ends[1], 0) for r in ranks}
+    while any(lo < hi for lo, hi, _ in state.values()):
+        cells = sorted({(lo, hi, n) for lo, hi, n in state.values() if lo < hi})
+        known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi, _) in enumerate(cells)))
+        c = v.select("v", F.explode(F.filter(known, lambda c: (F.col("v") >= c["lo"]) & (F.col("v") <= c["hi"]))).alias("c"))
+        at = F.floor((F.col("v") - F.col("c.lo")) / (F.col("c.hi") - F.col("c.lo")) * buckets)
+        got = c.groupBy(F.col("c.k").alias("k"), at.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        counts: dict[int, list] = {}
+        for r in sorted(got, key=lambda r: (r["k"], r["at"])):
+            counts.setdefault(r["k"], []).append(r)
+        for rank, (lo, hi, before) in state.items():
+            if lo < hi:
+                for r in counts[cells.index((lo, hi, before))]:
+                    if rank < before + r["n"]:
+                        state[rank] = (r["lo"], r["hi"], before)
+                        break
+                    before += r["n"]
+    return {r: lo for r, (lo, _, _) in state.items()}
+
+
+def exact_quantiles(rows: DataFrame, column: str, q: list[float]) -> list[float | None]:
+    """Linearly interpolated quantiles; None for no values."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return [None] * len(q)
+    at = [v * (n - 1) for v in q]
+    found = order_statistics(rows, column, sorted({k for h in at for k in (int(h), min(int(h) + 1, n - 1))}))
+    return [found[int(h)] + (h - int(h)) * (found[min(int(h) + 1, n - 1)] - found[int(h)]) for h in at]
+
+
 def quantiles(voxels: DataFrame, q: list[float]) -> DataFrame:
     """Exact, linearly interpolated: (q, value)."""
-    a = voxels.agg(*(F.round(F.percentile("amp", v), 6).alias(f"q{k}") for k, v in enumerate(q)))
-    pairs = F.array(*(F.struct(F.lit(v).alias("q"), F.col(f"q{k}").alias("value")) for k, v in enumerate(q)))
-    return a.select(F.inline(pairs))
+    rows = list(zip(q, exact_quantiles(voxels, "amp", q), strict=True))
+    return voxels.sparkSession.createDataFrame(rows, "q double, value double").select("q", F.round("value", 6).alias("value"))
 
 
 def signal_to_noise(traces: DataFrame) -> DataFrame:
@@ -26,17 +62,56 @@ def signal_to_noise(traces: DataFrame) -> DataFrame:
     return t.select("i", "x", F.round(F.when(F.col("var") > 0, F.ln((F.col("m") * F.col("m") + 1) / (F.col("var") + 1))), 6).alias("snr"))
 
 
-def normalize(voxels: DataFrame, mode: str = "meanstd") -> DataFrame:
-    """By statistics of the whole volume: mean, std, meanstd or minmax."""
-    s = voxels.agg(F.avg("amp").alias("m"), F.stddev_pop("amp").alias("s"), F.min("amp").alias("lo"), F.max("amp").alias("hi"))
-    e = {"mean": "amp - m", "std": "amp / s", "meanstd": "(amp - m) / s", "minmax": "(amp - lo) / (hi - lo)"}[mode]
-    return voxels.join(F.broadcast(s)).select("i", "x", "d", F.round(F.expr(e), 6).alias("amp"))
+def normalization_stats(voxels: DataFrame) -> DataFrame:
+    """One row: mean, std, min, max and the quantiles 0.01, 0.05, 0.95 and 0.99."""
+    q = dict(zip(("q_01", "q_05", "q_95", "q_99"), exact_quantiles(voxels, "amp", [0.01, 0.05, 0.95, 0.99]), strict=True))
+    return voxels.agg(F.avg("amp").alias("mean"), F.stddev_pop("amp").alias("std"), F.min("amp").alias("min"), F.max("amp").alias("max"), *(F.lit(v).alias(k) for k, v in q.items()))
+
+
+_NORMAL = {"mean": "amp - mean", "std": "amp / std", "meanstd": "(amp - mean) / std", "minmax": "(amp - min) / (max - min)"}
+_BACK = {"mean": "amp + mean", "std": "amp * std", "meanstd": "amp * std + mean", "minmax": "amp * (max - min) + min"}
+
+
+def normalize(voxels: DataFrame, mode: str = "meanstd", clip_to_quantiles: bool = False, stats: DataFrame | None = None) -> DataFrame:
+    """By statistics of the whole volume or by those given (a row of
+    ``normalization_stats``): mean, std, meanstd or minmax."""
+    if stats is None:
+        stats = normalization_stats(voxels) if clip_to_quantiles else voxels.agg(F.avg("amp").alias("mean"), F.stddev_pop("amp").alias("std"), F.min("amp").alias("min"), F.max("amp").alias("max"))
+    v = voxels.join(F.broadcast(stats))
+    if clip_to_quantiles:
+        v = v.withColumn("amp", F.least(F.greatest("amp", "q_01"), F.col("q_99")))
+    return v.select("i", "x", "d", F.round(F.expr(_NORMAL[mode]), 6).alias("amp"))
+
+
+def denormalize(voxels: DataFrame, stats: DataFrame, mode: str = "meanstd") -> DataFrame:
+    return voxels.join(F.broadcast(stats)).select("i", "x", "d", F.round(F.expr(_BACK[mode]), 6).alias("amp"))
+
+
+def quantization(voxels: DataFrame, share: float = 0.99, center: bool = False) -> dict[str, float]:
+    """Parameters of ``quantize``: the symmetric range from the quantiles share
+    and 1 - share, and the mean (0 if not ``center``)."""
+    hi, lo = exact_quantiles(voxels, "amp", [share, 1 - share])
+    mean = voxels.agg(F.avg("amp")).first()[0] if center else 0.0
+    return {"range": min(abs(hi - mean), abs(lo - mean)), "center": mean}
+
+
+def quantize(voxels: DataFrame, share: float = 0.99, center: bool = False, clip: bool = True, how: dict[str, float] | None = None) -> DataFrame:
+    """(i, x, d, q): whole numbers -127..127 over a symmetric range taken from quantiles."""
+    how = how or quantization(voxels, share, center)
+    v = F.col("amp") - how["center"]
+    v = F.least(F.greatest(v, F.lit(-how["range"])), F.lit(how["range"])) if clip else v
+    return voxels.select("i", "x", "d", F.rint(v / how["range"] * 127).cast("long").alias("q"))
+
+
+def dequantize(codes: DataFrame, how: dict[str, float]) -> DataFrame:
+    """(i, x, d, amp) of codes of ``quantize``."""
+    return codes.select("i", "x", "d", (F.col("q") / 127 * how["range"] + how["center"]).alias("amp"))
 
 
-def quantize(voxels: DataFrame, share: float = 0.99) -> DataFrame:
-    """To whole numbers -127..127 over a symmetric range taken from quantiles."""
-    r = voxels.agg(F.least(F.abs(F.percentile("amp", share)), F.abs(F.percentile("amp", 1 - share))).alias("r"))
-    return voxels.join(F.broadcast(r)).select("i", "x", "d", F.rint(F.least(F.greatest(F.col("amp"), -F.col("r")), F.col("r")) / F.col("r") * 127).cast("long").alias("q"))
+def quantization_error(voxels: DataFrame, how: dict[str, float]) -> DataFrame:
+    """One row: mean absolute error of the round trip over the deviation."""
+    back = dequantize(quantize(voxels, how=how), how).withColumnRenamed("amp", "back")
+    return voxels.join(back, ["i", "x", "d"]).agg(F.round(F.avg(F.abs(F.col("back") - F.col("amp"))) / F.stddev_pop("amp"), 6).alias("error"))
 
 
 def along_surface(voxels: DataFrame, surface: DataFrame, window: int = 1, offset: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ def interpolate_log(left: DataFrame, right: DataFrame) -> DataFrame:
     Both are merged and ordered once; no pairs are formed."""
     both = left.select("well", "t", F.lit(None).cast("double").alias("v"), F.lit(True).alias("ask")).union(right.select("well", "t", F.col("v").cast("double"), F.lit(False)))
     back = Window.partitionBy("well").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("well").orderBy("t").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("well").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)  # grows too, hence linear
     known = F.when(~F.col("ask"), F.struct("t", "v"))
     j = both.withColumn("a", F.max(known).over(back)).withColumn("b", F.min(known).over(ahead)).where("ask")
     inner = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))

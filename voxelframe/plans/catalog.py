@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry, signal
 from ..operators import components, grids, metrics, mistie, surface, traces, volume, wells
 from ..streaming.surface import windowed_logs
-from .views import edges, fac, logs, pts, srf, table, trc, vox, with_views
+from .registry import ORACLES, QUERIES, add
+from .views import edges, fac, logs, pts, srf, table, trc, vox
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-SHAPE, CROP, STRIDE = (20, 25, 64), (5, 5, 16), (3, 4, 12)
-
-
-def add(name: str, run: Callable[[SparkSession, str], DataFrame], views: list[str] | None = None, sql: str | None = None, recursive: bool = False) -> None:
-    QUERIES[name] = run
-    if sql is not None:
-        ORACLES[name] = with_views(views, sql, recursive) if views else sql
+__all__ = ["ORACLES", "QUERIES"]
+CROP, STRIDE = (5, 5, 16), (3, 4, 12)
 
 
 def _named(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -71,22 +65,22 @@ add("subset", lambda s, d: surface.keep_masked(A(s, d), N(s, d).where("d >= 25")
 add("thin_out", lambda s, d: surface.thin_out(srf(s, d)), ["srf"], """WITH li AS (SELECT s, i, row_number() OVER (PARTITION BY s ORDER BY i) - 1 AS k FROM (SELECT s, i FROM srf GROUP BY s, i HAVING count(*) > 20)), lx AS (SELECT s, x, row_number() OVER (PARTITION BY s ORDER BY x) - 1 AS k FROM (SELECT s, x FROM srf GROUP BY s, x HAVING count(*) > 20))
 SELECT s, i, x, d FROM srf WHERE (s, i) IN (SELECT s, i FROM li WHERE k % 2 = 0) OR (s, x) IN (SELECT s, x FROM lx WHERE k % 2 = 0)""")
 add("grid_lines", lambda s, d: surface.on_grid(srf(s, d), (10, 7)), ["srf"], "SELECT s, i, x, d FROM srf WHERE i % 10 = 0 OR x % 7 = 0")
-_AX = [grids.starts(n, c, t) for n, c, t in zip(SHAPE, CROP, STRIDE, strict=True)]
-_GRID = f"g AS (SELECT i0, x0, d0, row_number() OVER (ORDER BY i0, x0, d0) - 1 AS loc_id FROM (SELECT unnest({_AX[0]}) AS i0) CROSS JOIN (SELECT unnest({_AX[1]}) AS x0) CROSS JOIN (SELECT unnest({_AX[2]}) AS d0))"
+_STARTS = "(SELECT DISTINCT least(v, greatest(hi - {c}, lo)) AS {a}0 FROM (SELECT lo, hi, unnest(range(lo, hi, {t})) AS v FROM (SELECT {lo} AS lo, {hi} AS hi FROM trc)))"
+_AX = [_STARTS.format(a=a, c=c, t=t, lo=lo, hi=hi) for a, c, t, lo, hi in zip("ixd", CROP, STRIDE, ("min(i)", "min(x)", "0"), ("max(i) + 1", "max(x) + 1", "max(len(samples))"), strict=True)]
+_GRID = f"g AS (SELECT i0, x0, d0, row_number() OVER (ORDER BY i0, x0, d0) - 1 AS loc_id FROM {_AX[0]} CROSS JOIN {_AX[1]} CROSS JOIN {_AX[2]})"
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
-    """Over all traces of the table. The SQL has the extent of 500 vectors (SHAPE), so the two agree at sf0.001 and sf0.01."""
+    """Over all traces of the table."""
     return grids.regular_grid(grids.extent(trc(s, d)), CROP, STRIDE)
 
 
-add("regular_grid", lambda s, d: _grid(s, d), None, None)
-ORACLES["regular_grid"] = f"WITH {_GRID} SELECT loc_id, CAST(i0 AS BIGINT) AS i0, CAST(x0 AS BIGINT) AS x0, CAST(d0 AS BIGINT) AS d0, CAST(i0 + 5 AS BIGINT) AS i1, CAST(x0 + 5 AS BIGINT) AS x1, CAST(d0 + 16 AS BIGINT) AS d1 FROM g"
+add("regular_grid", lambda s, d: _grid(s, d), ["trc"], f"WITH {_GRID} SELECT loc_id, CAST(i0 AS BIGINT) AS i0, CAST(x0 AS BIGINT) AS x0, CAST(d0 AS BIGINT) AS d0, CAST(i0 + 5 AS BIGINT) AS i1, CAST(x0 + 5 AS BIGINT) AS x1, CAST(d0 + 16 AS BIGINT) AS d1 FROM g")
 _points = lambda s, d, name: _named(name)(s, d).select(F.col("i").alias("i0"), F.col("x").alias("x0"), F.col("d").alias("d0"))
 add("grid_union", lambda s, d: grids.union(_points(s, d, "A"), _points(s, d, "N")), ["srf"], f"WITH {ONE} SELECT i AS i0, x AS x0, d AS d0 FROM a UNION SELECT i, x, d FROM n")
 add("new_locations", lambda s, d: grids.unseen(_points(s, d, "A"), _points(s, d, "N")), ["srf"], f"WITH {ONE} SELECT i AS i0, x AS x0, d AS d0 FROM a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.i = a.i AND n.x = a.x AND n.d = a.d)")
-add("grid_chunks", lambda s, d: grids.chunks(_grid(s, d), CROP[:2], (10, 12), (8, 10)), None, None)
-ORACLES["grid_chunks"] = f"WITH {_GRID} SELECT loc_id, CAST(ki AS BIGINT) AS ki, CAST(kx AS BIGINT) AS kx FROM g CROSS JOIN (SELECT unnest(range(0, 10)) AS ki) CROSS JOIN (SELECT unnest(range(0, 10)) AS kx) WHERE i0 >= ki * 8 AND i0 + 5 <= ki * 8 + 10 AND x0 >= kx * 10 AND x0 + 5 <= kx * 10 + 12"
+add("grid_chunks", lambda s, d: grids.chunks(_grid(s, d), CROP[:2], (10, 12), (8, 10)), ["trc"], f"""WITH {_GRID}, ki AS (SELECT unnest(range(0, max(i0) // 8 + 1)) AS ki FROM g), kx AS (SELECT unnest(range(0, max(x0) // 10 + 1)) AS kx FROM g)
+SELECT loc_id, CAST(ki AS BIGINT) AS ki, CAST(kx AS BIGINT) AS kx FROM g CROSS JOIN ki CROSS JOIN kx WHERE i0 >= ki * 8 AND i0 + 5 <= ki * 8 + 10 AND x0 >= kx * 10 AND x0 + 5 <= kx * 10 + 12""")
 add("lines_to_ordinals", lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("line"), F.floor((F.col("l_suppkey") - 7) / 3).alias("ordinal")).distinct(), None, None)
 ORACLES["lines_to_ordinals"] = "SELECT DISTINCT l_suppkey AS line, CAST(floor((l_suppkey - 7) / 3) AS BIGINT) AS ordinal FROM lineitem"
 add("affine_fit", lambda s, d: pts(s, d).agg(*(F.round(f("x", "d"), 6).alias(n) for n, f in (("covar", F.covar_pop), ("slope", lambda a, b: F.regr_slope(F.col(b), F.col(a))), ("intercept", lambda a, b: F.regr_intercept(F.col(b), F.col(a)))))), ["pts"], "SELECT round(covar_pop(d, x), 6) AS covar, round(regr_slope(d, x), 6) AS slope, round(regr_intercept(d, x), 6) AS intercept FROM pts")
@@ -139,7 +133,10 @@ add("moving_normalization", lambda s, d: traces.local_statistics(vox(s, d), 3),
 add("semblance", lambda s, d: traces.semblance(vox(s, d)), ["vox"], "WITH e AS (SELECT CAST(i + a AS BIGINT) AS i, CAST(x + b AS BIGINT) AS x, d, amp FROM vox CROSS JOIN (SELECT unnest(range(-1, 2)) AS a) CROSS JOIN (SELECT unnest(range(-1, 2)) AS b)), g AS (SELECT i, x, d, sum(amp) AS s, sum(amp * amp) AS q, count(*) AS n FROM e GROUP BY i, x, d) SELECT i, x, max(n) AS n, round(sum(s * s) / (max(n) * sum(q)), 6) AS semblance FROM g GROUP BY i, x")
 
 # --- traces ----------------------------------------------------------------
-add("support_correlation", lambda s, d: traces.support_correlation(trc(s, d), trc(s, d).where("i % 5 = 0 and x % 5 = 0 and i < 50")), ["vox"], "WITH t AS (SELECT i, x, d, amp - avg(amp) OVER (PARTITION BY i, x) AS z FROM vox), k AS (SELECT i, x, sqrt(avg(z * z)) AS sd FROM t GROUP BY i, x), c AS (SELECT a.i, a.x, b.i AS j, b.x AS y, avg(a.z * b.z) AS m FROM t a JOIN t b ON a.d = b.d AND b.i % 5 = 0 AND b.x % 5 = 0 AND b.i < 50 GROUP BY 1, 2, 3, 4) SELECT c.i, c.x, round(avg(CASE WHEN p.sd > 0 AND q.sd > 0 THEN m / (p.sd * q.sd) END), 6) AS corr FROM c JOIN k p ON p.i = c.i AND p.x = c.x JOIN k q ON q.i = c.j AND q.x = c.y GROUP BY c.i, c.x")
+add("support_correlation", lambda s, d: traces.support_correlation(trc(s, d), traces.find_supports(trc(s, d), 50)), ["vox"], """WITH t AS (SELECT i, x, d, amp - avg(amp) OVER (PARTITION BY i, x) AS z FROM vox), k AS (SELECT i, x, sqrt(avg(z * z)) AS sd FROM t GROUP BY i, x),
+h AS (SELECT i, x, sd FROM k WHERE sd > 0 ORDER BY md5('0,' || i || ',' || x), i, x LIMIT 50),
+c AS (SELECT a.i, a.x, h.i AS j, h.x AS y, avg(a.z * b.z) / (k.sd * h.sd) AS m FROM h JOIN t b ON b.i = h.i AND b.x = h.x JOIN t a ON a.d = b.d JOIN k ON k.i = a.i AND k.x = a.x GROUP BY a.i, a.x, h.i, h.x, k.sd, h.sd)
+SELECT i, x, round(avg(m), 6) AS corr FROM c GROUP BY i, x""")
 add("local_correlation", lambda s, d: traces.local_correlation(trc(s, d)), ["vox"], "WITH t AS (SELECT i, x, d, amp - avg(amp) OVER (PARTITION BY i, x) AS z FROM vox), k AS (SELECT i, x, sqrt(avg(z * z)) AS sd FROM t GROUP BY i, x), c AS (SELECT a.i, a.x, b.i AS j, b.x AS y, avg(a.z * b.z) AS m FROM t a JOIN t b ON a.d = b.d AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (a.i <> b.i OR a.x <> b.x) GROUP BY 1, 2, 3, 4) SELECT c.i, c.x, round(avg(m / (p.sd * q.sd)), 6) AS corr FROM c JOIN k p ON p.i = c.i AND p.x = c.x JOIN k q ON q.i = c.j AND q.x = c.y GROUP BY c.i, c.x")
 
 
@@ -171,6 +168,7 @@ _EXT = (50, 64)
 _CC = """WITH v AS (SELECT DISTINCT i, x, d, (i * 50 + x) * 64 + d AS n FROM pts WHERE p >= 0.9999), e AS (SELECT a.n AS a, b.n AS b FROM v a JOIN v b ON b.i BETWEEN a.i - 1 AND a.i + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.d BETWEEN a.d - 1 AND a.d + 1 AND a.n <> b.n),
 r(n, c) AS (SELECT n, n FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n), m AS (SELECT n, min(c) AS c FROM r GROUP BY n), lab AS (SELECT v.i, v.x, v.d, m.c FROM v JOIN m USING (n))"""
 add("voxel_components", lambda s, d: components.voxel_components(_mask(s, d), _EXT), ["pts"], f"{_CC} SELECT i, x, d, c FROM lab", True)
+add("from_mask", lambda s, d: components.from_mask(pts(s, d), 0.5, "mean", 4, _EXT))
 add("components_to_surfaces", lambda s, d: components.surfaces_from_mask(_mask(s, d), 4, _EXT), ["pts"], f"{_CC}, s AS (SELECT c, i, x, CAST(round_even(avg(d), 0) AS BIGINT) AS d FROM lab GROUP BY c, i, x) SELECT c, i, x, d FROM s WHERE c IN (SELECT c FROM s GROUP BY c HAVING count(*) >= 4)", True)
 add("largest_component", lambda s, d: components.largest(components.voxel_components(_mask(s, d), _EXT)), ["pts"], f"{_CC} SELECT i, x, d, c FROM lab WHERE c = (SELECT c FROM lab GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)", True)
 add("pair_differences", lambda s, d: edges(s, d), ["edges"], "SELECT a, b, m FROM edges")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,3 +34,28 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._voxelframe_shipped = sc.applicationId
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it
+    is unset and Spark runs on one machine, a temporary folder; elsewhere an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="voxelframe-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df):
+    """``df`` by checkpoint(): its lineage ends in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
