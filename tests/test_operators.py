@@ -68,8 +68,26 @@ def test_segy_round_trip(spark, tmp_path):
     (tmp_path / "a.sgy").write_bytes(segy.encode_segy(rows))
     got = {r["trace_id"]: r for r in segy.read_segy(spark, str(tmp_path / "a.sgy")).collect()}
     assert len(got) == 30 and all(got[r["trace_id"]][c] == r[c] for r in rows for c in r)
-    files = segy.trace_files(segy.read_segy(spark, str(tmp_path / "a.sgy")), 3).collect()
-    assert len(files) == 3
+    traces = segy.read_segy(spark, str(tmp_path / "a.sgy"))
+    segy.write_segy(traces, str(tmp_path / "b"), lines_per_file=3)
+    assert len(segy.files_of(str(tmp_path / "b"))) == 3
+    key = lambda df: sorted((r["inline"], r["crossline"], r["delay"], tuple(r["samples"])) for r in df.collect())
+    assert key(segy.read_segy(spark, str(tmp_path / "b"), chunk=4)) == key(traces)
+    heads = segy.read_segy(spark, str(tmp_path / "a.sgy"), ("inline", "offset"), samples=False)
+    assert heads.columns == ["inline", "offset", "file"] and heads.count() == 30
+
+
+def test_segy_faults(spark, tmp_path):
+    """A file that ends within a trace, heads that disagree, and an unknown header are errors."""
+    whole = segy.encode_segy([{"inline": 1, "crossline": 1, "samples": [1.0, 2.0]}])
+    (tmp_path / "cut.sgy").write_bytes(whole[:-3])
+    with pytest.raises(ValueError, match="whole number of traces"):
+        segy.file_head(str(tmp_path / "cut.sgy"))
+    (tmp_path / "two.sgy").write_bytes(whole[: segy.TEXT + 16] + b"\x03\xe8" + whole[segy.TEXT + 18 :])
+    with pytest.raises(ValueError, match="disagree"):
+        segy.file_head(str(tmp_path / "two.sgy"))
+    with pytest.raises(Exception, match="no such trace header"):
+        segy.read_segy(spark, str(tmp_path / "two.sgy"), ("nothing",)).count()
 
 
 @pytest.mark.parametrize("value", [0.0, 1.0, -118.625, 1e-3])

@@ -112,8 +112,8 @@ def test_segy_files_of_other_heads(spark, tmp_path):
         out = b" " * segy.TEXT + bytes(head)
         for t, row in enumerate(data):
             trace = bytearray(segy.HEAD)
-            struct.pack_into(">i", trace, segy.FIELDS["inline"], code)
-            struct.pack_into(">i", trace, segy.FIELDS["crossline"], t)
+            struct.pack_into(">i", trace, segy.FIELDS["inline"][0] - 1, code)
+            struct.pack_into(">i", trace, segy.FIELDS["crossline"][0] - 1, t)
             out += bytes(trace) + row.astype(kind).tobytes()
             want[code, t] = row.astype(float).tolist()
         (tmp_path / f"{code}.sgy").write_bytes(out)

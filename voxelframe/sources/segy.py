@@ -1,23 +1,38 @@
-"""SEG-Y revision 1: traces with headers, read through Spark's own file access
-and written by partitions as whole traces."""
+"""SEG-Y revision 1 as a data source: ``spark.read.format("segy")``.
+
+A file is planned by its own heads (on the driver, a few kB each) into ranges of
+traces, which tasks read by their bytes; a file needn't fit a task. Files are
+reached through Arrow's file systems: a local path or a URI (hdfs, s3, ...).
+Written are folders of whole files, one for each partition, that appear under
+their names only when the job commits.
+"""
 
 from __future__ import annotations
 
+import posixpath
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 TEXT, BINARY, HEAD = 3200, 400, 240
-#: Byte places (from 0) of the trace header fields that are read.
-FIELDS = {"trace_id": 0, "delay": 108, "cdp_x": 180, "cdp_y": 184, "inline": 188, "crossline": 192}
+#: Fixed values of the format: place (from 1) and bytes of trace header fields.
+FIELDS = {
+    "line_trace": (1, 4), "trace_id": (5, 4), "field_record": (9, 4), "trace_number": (13, 4), "source_point": (17, 4), "cdp": (21, 4), "cdp_trace": (25, 4),
+    "kind": (29, 2), "offset": (37, 4), "elevation_scalar": (69, 2), "coordinate_scalar": (71, 2), "source_x": (73, 4), "source_y": (77, 4), "group_x": (81, 4), "group_y": (85, 4),
+    "delay": (109, 2), "n_samples": (115, 2), "sample_interval": (117, 2), "cdp_x": (181, 4), "cdp_y": (185, 4), "inline": (189, 4), "crossline": (193, 4), "shot_point": (197, 4),
+}
 #: Bytes and NumPy type of a sample by format code; 1 is IBM floats.
 WIDTH = {1: 4, 2: 4, 3: 2, 5: 4, 6: 8, 8: 1, 9: 8, 10: 4, 11: 2, 12: 8, 16: 1}
 KIND = {2: ">i4", 3: ">i2", 5: ">f4", 6: ">f8", 8: "i1", 9: ">i8", 10: ">u4", 11: ">u2", 12: ">u8", 16: "u1"}
-TRACES = "inline int, crossline int, trace_id int, cdp_x int, cdp_y int, delay int, samples array<float>"
+#: Read if not said otherwise.
+HEADERS = ("inline", "crossline", "trace_id", "cdp_x", "cdp_y", "delay")
 
 
 def ibm_to_ieee(raw: np.ndarray) -> np.ndarray:
@@ -27,76 +42,242 @@ def ibm_to_ieee(raw: np.ndarray) -> np.ndarray:
     return (sign * (w & 0xFFFFFF) / float(1 << 24) * 16.0 ** (((w >> 24) & 0x7F).astype(int) - 64)).astype(np.float32)
 
 
-def samples_of(raw: bytes, code: int) -> np.ndarray:
+def samples_of(raw: bytes, code: int, kind: type = np.float32) -> np.ndarray:
     if code == 1:
-        return ibm_to_ieee(np.frombuffer(raw, ">u4"))
-    return np.frombuffer(raw, KIND[code]).astype(np.float32)
+        return ibm_to_ieee(np.frombuffer(raw, ">u4")).astype(kind)
+    return np.frombuffer(raw, KIND[code]).astype(kind)
+
+
+@dataclass
+class Head:
+    """File-wide parameters; interval in microseconds."""
 
+    n: int
+    code: int
+    interval: int
 
-def head_of(head: bytes) -> tuple[int, int, int]:
-    """(samples a trace, format code, interval in microseconds) from a binary header."""
-    if len(head) < BINARY:
+    @property
+    def size(self) -> int:
+        return HEAD + self.n * WIDTH[self.code]
+
+
+def head_of(binary: bytes, first_trace: bytes = b"") -> Head:
+    """From the binary header and that of the first trace. The interval is the
+    one value other than zero that the two name."""
+    if len(binary) < BINARY:
         raise ValueError("SEG-Y file ends within its head")
-    interval, = struct.unpack(">H", head[16:18])
-    n, = struct.unpack(">H", head[20:22])
-    code, = struct.unpack(">H", head[24:26])
+    interval, = struct.unpack(">H", binary[16:18])
+    n, = struct.unpack(">H", binary[20:22])
+    code, = struct.unpack(">H", binary[24:26])
     if code not in WIDTH:
         raise ValueError(f"SEG-Y format {code} is not read")
-    return n, code, interval
+    found = {interval, *(struct.unpack(">H", first_trace[116:118]) if len(first_trace) >= HEAD else ())} - {0}
+    if len(found) > 1:
+        raise ValueError(f"SEG-Y heads disagree on the sample interval: {sorted(found)}")
+    return Head(n, code, found.pop() if found else 0)
 
 
-def file_head(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """``head_of`` the file at ``path``."""
-    return head_of(spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, {TEXT + 1}, {BINARY})").alias("h")).first()["h"])
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def read_segy(spark: SparkSession, path: str) -> DataFrame:
-    """TRACES rows. A file is cut into trace records by Spark's fixed-length
-    record reader after its head, which is as long as a whole number of shorter
-    records only by chance; so files are read as binary rows, each split into
-    traces, by its own head, by the worker that holds it."""
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file or of the SEG-Y files of a folder."""
+    system, at = file_system(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [(at, info.size)]
+    found = system.get_file_info(fs.FileSelector(at, recursive=True))
+    out = [(f.path, f.size) for f in found if f.is_file and f.path.rsplit(".", 1)[-1].lower() in ("sgy", "segy", "seg", "qsgy") and not posixpath.basename(f.path).startswith((".", "_"))]
+    return sorted(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column(0):
-                raw = c.as_py()
-                n, code, _ = head_of(raw[TEXT : TEXT + BINARY])
-                size = HEAD + n * WIDTH[code]
-                for at in range(TEXT + BINARY, len(raw), size * 4096):
-                    part = raw[at : min(at + size * 4096, len(raw))]
-                    rows = np.frombuffer(part[: len(part) // size * size], np.uint8).reshape(-1, size)
-                    num = lambda k, kind, w: np.ascontiguousarray(rows[:, k : k + w]).view(kind)[:, 0].astype(np.int32)  # noqa: E731, B023
-                    head = [num(FIELDS[f], ">i2" if f == "delay" else ">i4", 2 if f == "delay" else 4) for f in ("inline", "crossline", "trace_id", "cdp_x", "cdp_y", "delay")]
-                    data = samples_of(np.ascontiguousarray(rows[:, HEAD:]).tobytes(), code)
-                    ends = np.arange(0, len(data) + 1, n).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, head), pa.ListArray.from_arrays(pa.array(ends), pa.array(data))], ["inline", "crossline", "trace_id", "cdp_x", "cdp_y", "delay", "samples"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, TRACES)
+def file_head(path: str, size: int | None = None) -> tuple[Head, int]:
+    """(parameters, number of traces) of one file; an error if the file doesn't
+    end with a whole trace."""
+    system, at = file_system(path)
+    size = system.get_file_info(at).size if size is None else size
+    with system.open_input_file(at) as f:
+        raw = f.read_at(min(size, TEXT + BINARY + HEAD), 0)
+    head = head_of(raw[TEXT : TEXT + BINARY], raw[TEXT + BINARY :])
+    if (size - TEXT - BINARY) % head.size:
+        raise ValueError(f"{path}: {size - TEXT - BINARY} bytes are no whole number of traces of {head.size}")
+    return head, (size - TEXT - BINARY) // head.size
 
 
-def encode_segy(traces: list[dict], interval: int = 2000) -> bytes:
-    """A file of 4-byte IEEE floats from trace rows (headers as in TRACES)."""
-    n = len(traces[0]["samples"]) if traces else 0
+@dataclass
+class _Range(InputPartition):
+    path: str
+    first: int
+    count: int
+    head: Head
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict, with_samples: bool) -> None:
+        self.path, self.chunk = options["path"], int(options.get("chunk", 25_000))
+        self.headers = _headers(options)
+        self.kind = np.float64 if options.get("kind") == "double" else np.float32
+        self.with_samples = with_samples
+
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for path, size in files_of(self.path):
+            head, n = file_head(path, size)
+            out += [_Range(path, at, min(self.chunk, n - at), head) for at in range(0, n, self.chunk)]
+        return out or [_Range("", 0, 0, Head(0, 5, 0))]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        head, step = partition.head, max(1, 16_000_000 // max(1, partition.head.size))
+        if not partition.count:
+            return
+        system = file_system(self.path)[0]
+        with system.open_input_file(partition.path) as f:
+            for at in range(partition.first, partition.first + partition.count, step):
+                n = min(step, partition.first + partition.count - at)
+                raw = f.read_at(n * head.size, TEXT + BINARY + at * head.size)
+                yield self.batch(np.frombuffer(raw, np.uint8).reshape(n, head.size), head, at, posixpath.basename(partition.path))
+
+    def batch(self, rows: np.ndarray, head: Head, at: int, name: str) -> pa.RecordBatch:
+        cols = {}
+        for h in self.headers:
+            place, width = FIELDS[h]
+            v = np.ascontiguousarray(rows[:, place - 1 : place - 1 + width]).view(f">i{width}")[:, 0].astype(np.int32)
+            cols[h] = pa.array(np.arange(at + 1, at + 1 + len(rows), dtype=np.int32) if h == "trace_id" else v)  # the place in the file, from 1
+        cols["file"] = pa.array([name] * len(rows))
+        if self.with_samples:
+            data = samples_of(np.ascontiguousarray(rows[:, HEAD:]).tobytes(), head.code, self.kind)
+            ends = np.arange(0, len(data) + 1, max(head.n, 1)).astype(np.int32) if head.n else np.zeros(len(rows) + 1, np.int32)
+            cols["samples"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(data))
+        return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    temporary: str
+    final: str
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.code, self.interval, self.overwrite = options["path"], int(options.get("code", 5)), int(options.get("interval", 2000)), overwrite
+        self.job = uuid.uuid4().hex[:12]
+
+    def write(self, iterator) -> _Written:
+        from pyspark import TaskContext
+
+        system, at = file_system(self.path)
+        system.create_dir(at, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{self.job}.sgy"
+        temporary = f"{at}/.{name}-{uuid.uuid4().hex}"
+        count = 0
+        with system.open_output_stream(temporary) as out:
+            for count, row in enumerate(iterator, 1):
+                t = row.asDict()
+                if count == 1:
+                    n = len(t["samples"])
+                    out.write(file_start(n, self.code, self.interval))
+                out.write(trace_bytes(t, count, n, self.code, self.interval))
+        if not count:
+            system.delete_file(temporary)
+            return _Written("", "")
+        return _Written(temporary, f"{at}/{name}")
+
+    def commit(self, messages: list[_Written]) -> None:
+        system, at = file_system(self.path)
+        if self.overwrite:
+            for path, _ in files_of(self.path):
+                system.delete_file(path)
+        for m in messages:
+            if m and m.final:
+                system.move(m.temporary, m.final)
+
+    def abort(self, messages: list[_Written]) -> None:
+        system, _ = file_system(self.path)
+        for m in messages:
+            if m and m.temporary:
+                system.delete_file(m.temporary)
+
+
+def _headers(options: dict) -> list[str]:
+    return [h.strip() for h in options.get("headers", ",".join(HEADERS)).split(",") if h.strip()]
+
+
+class SegySource(DataSource):
+    """Options: path; headers (names of FIELDS); samples (false: heads only);
+    kind (float or double); chunk (traces of a task). Writing: code (format 5,
+    3, 2 or 8), interval in microseconds."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "segy"
+
+    def schema(self) -> str:
+        unknown = set(_headers(self.options)) - set(FIELDS)
+        if unknown:
+            raise ValueError(f"no such trace header: {sorted(unknown)}")
+        samples = "" if self.options.get("samples", "true") == "false" else f", samples array<{self.options.get('kind', 'float')}>"
+        return ", ".join(f"{h} int" for h in _headers(self.options)) + ", file string" + samples
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(dict(self.options), "samples" in schema.fieldNames())
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(dict(self.options), overwrite)
+
+
+def read_segy(spark: SparkSession, path: str, headers: tuple[str, ...] = HEADERS, samples: bool = True, kind: str = "float", chunk: int = 25_000) -> DataFrame:
+    """A row for each trace of a file or folder: headers, file, samples. Without
+    ``samples`` only heads are decoded."""
+    spark.dataSource.register(SegySource)
+    o = {"headers": ",".join(headers), "samples": str(samples).lower(), "kind": kind, "chunk": str(chunk)}
+    return spark.read.format("segy").options(**o).load(path)
+
+
+def encoded(samples: np.ndarray, code: int) -> bytes:
+    """Samples in a format; whole numbers are rounded half to even and clipped."""
+    a = np.asarray(samples, float)
+    if code == 1:
+        raise ValueError("IBM floats are read, not written")
+    if code not in (5, 6):
+        info = np.iinfo(np.dtype(KIND[code]))
+        a = np.clip(np.rint(a), info.min, info.max)
+    return a.astype(KIND[code]).tobytes()
+
+
+def file_start(n: int, code: int = 5, interval: int = 2000) -> bytes:
     binary = bytearray(BINARY)
     struct.pack_into(">H", binary, 16, interval)
     struct.pack_into(">H", binary, 20, n)
-    struct.pack_into(">H", binary, 24, 5)
-    out = [b" " * TEXT, bytes(binary)]
-    for k, t in enumerate(traces, 1):
-        head = bytearray(HEAD)
-        for f, at in FIELDS.items():
-            struct.pack_into(">h" if f == "delay" else ">i", head, at, int(t.get(f) or (k if f == "trace_id" else 0)))
-        struct.pack_into(">HH", head, 114, n, interval)
-        out += [bytes(head), np.asarray(t["samples"], ">f4").tobytes()]
-    return b"".join(out)
-
-
-def trace_files(traces: DataFrame, lines_per_file: int = 20, interval: int = 2000) -> DataFrame:
-    """(part, content): one SEG-Y file for each ``lines_per_file`` inlines."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["inline", "crossline"]).to_dict("records")
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "content": [encode_segy(rows, interval)]})
-
-    return traces.withColumn("part", F.floor(F.col("inline") / lines_per_file)).groupBy("part").applyInPandas(run, "part long, content binary")
+    struct.pack_into(">H", binary, 24, code)
+    return b" " * TEXT + bytes(binary)
+
+
+def trace_bytes(trace: dict, number: int, n: int, code: int = 5, interval: int = 2000) -> bytes:
+    """Head and samples; fields by their names in FIELDS, others 0."""
+    if len(trace["samples"]) != n:
+        raise ValueError(f"trace {number} has {len(trace['samples'])} samples, not {n}")
+    head = bytearray(HEAD)
+    values = {**trace, "trace_id": number, "n_samples": n, "sample_interval": interval}
+    for f, (at, width) in FIELDS.items():
+        v = int(values.get(f) or 0)
+        struct.pack_into(">i" if width == 4 else ">H" if f in ("n_samples", "sample_interval") else ">h", head, at - 1, v)
+    return bytes(head) + encoded(trace["samples"], code)
+
+
+def encode_segy(traces: list[dict], interval: int = 2000, code: int = 5) -> bytes:
+    """A whole file from trace rows."""
+    n = len(traces[0]["samples"]) if traces else 0
+    return file_start(n, code, interval) + b"".join(trace_bytes(t, k, n, code, interval) for k, t in enumerate(traces, 1))
+
+
+def write_segy(traces: DataFrame, path: str, lines_per_file: int = 20, interval: int = 2000, code: int = 5, mode: str = "overwrite") -> None:
+    """Files of ``lines_per_file`` inlines each, sorted by inline and crossline."""
+    from pyspark.sql import functions as F
+
+    traces.sparkSession.dataSource.register(SegySource)
+    part = F.floor(F.col("inline") / lines_per_file)
+    lines = traces.agg(F.min(part), F.max(part)).first()
+    n = 1 if lines[0] is None else lines[1] - lines[0] + 1
+    dealt = traces.repartitionByRange(n, part).sortWithinPartitions(part, "inline", "crossline")
+    dealt.write.format("segy").options(code=str(code), interval=str(interval)).mode(mode).save(path)
