@@ -52,13 +52,14 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return c
 
 
-def _half(axes: int) -> list[tuple[int, ...]]:
-    """The offsets to neighbours, one of each two opposite ones."""
+def _half(axes: int, cross: bool = False) -> list[tuple[int, ...]]:
+    """The offsets to neighbours, one of each two opposite ones; with ``cross``
+    only those along an axis."""
     every = np.stack(np.meshgrid(*[[-1, 0, 1]] * axes, indexing="ij"), -1).reshape(-1, axes)
-    return [tuple(int(v) for v in o) for o in every if tuple(o) > (0,) * axes]
+    return [tuple(int(v) for v in o) for o in every if tuple(o) > (0,) * axes and not (cross and np.abs(o).sum() > 1)]
 
 
-def _local(axes: list[str], side: int):
+def _local(axes: list[str], side: int, cross: bool):
     """Labels within one tile: the smallest code ``n`` of the voxels that hang together."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -67,7 +68,7 @@ def _local(axes: list[str], side: int):
         box = np.full((side + 2,) * len(axes), -1)
         box[tuple(v + 1 for v in at)] = np.arange(len(n))
         a, b = [], []
-        for o in _half(len(axes)):
+        for o in _half(len(axes), cross):
             other = box[tuple(v + 1 + k for v, k in zip(at, o, strict=True))]
             a.append(np.flatnonzero(other >= 0))
             b.append(other[other >= 0])
@@ -79,19 +80,19 @@ def _local(axes: list[str], side: int):
     return run
 
 
-def grid_components(cells: DataFrame, axes: list[str], code: str, side: int = TILE) -> DataFrame:
+def grid_components(cells: DataFrame, axes: list[str], code: str, side: int = TILE, cross: bool = False) -> DataFrame:
     """(axes, n, c) of distinct cells: components of neighbours that differ by
-    one at most along each axis; c is the smallest code n of the component.
+    one at most along each axis (along one axis only with ``cross``); c is the smallest code n of the component.
     ``code`` is an expression of the axes, different for each cell. Tiles are
     labelled by one task each; the labels that meet at borders of tiles make a
     graph, which is contracted; only cells at borders are joined."""
     v = cells.select(*(F.col(c).cast("long").alias(c) for c in axes)).distinct().withColumn("n", F.expr(code).cast("long"))
     tiles = [F.floor(F.col(c) / side).alias(f"_t{c}") for c in axes]
     schema = ", ".join([*(f"{c} bigint" for c in axes), "n bigint, c bigint"])
-    local = cut(v.select("*", *tiles).groupBy(*(f"_t{c}" for c in axes)).applyInArrow(_local(axes, side), schema))
+    local = cut(v.select("*", *tiles).groupBy(*(f"_t{c}" for c in axes)).applyInArrow(_local(axes, side, cross), schema))
     border = " or ".join(f"pmod({c}, {side}) in (0, {side - 1})" for c in axes)
     edge = local.where(border).select(*axes, "c")
-    steps = F.array(*(F.struct(*(F.lit(k).alias(f"d{c}") for c, k in zip(axes, o, strict=True))) for o in _half(len(axes))))
+    steps = F.array(*(F.struct(*(F.lit(k).alias(f"d{c}") for c, k in zip(axes, o, strict=True))) for o in _half(len(axes), cross)))
     moved = edge.select(*axes, F.col("c").alias("a"), F.explode(steps).alias("o")).select(*((F.col(c) + F.col(f"o.d{c}")).alias(c) for c in axes), "a")
     links = moved.join(edge, axes).where("a <> c").select("a", F.col("c").alias("b")).distinct()
     joined = label(links).select(F.col("n").alias("c"), F.col("c").alias("_c"))
