@@ -117,6 +117,87 @@ def lowpass(col, share: float) -> Column:
     return _udf(f)(col)
 
 
+def bandpass(col, low: float | None = None, high: float | None = None, sign: bool = False) -> Column:
+    """Zero-phase band-pass, ``low`` and ``high`` as shares of Nyquist, rolling
+    off as of order 4; with ``sign`` only the sign of what passes."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        w = np.fft.rfftfreq(x.shape[1]) * 2
+        g = np.ones(len(w))
+        if high is not None:
+            g = g / (1 + (w / high) ** 8)
+        if low is not None:
+            g = g * (1 - 1 / (1 + (w / low) ** 8))
+        out = np.fft.irfft(np.fft.rfft(x) * g, x.shape[1])
+        return np.sign(out) if sign else out
+
+    return _udf(f)(col)
+
+
+def gaussian(col, sigma: float = 2.0) -> Column:
+    """Gaussian along the trace, cut at 4 sigma, weights of present samples normalised."""
+
+    def f(x: np.ndarray) -> np.ndarray:
+        k = int(4 * sigma + 0.5)
+        w = np.exp(-np.arange(-k, k + 1) ** 2 / (2 * sigma * sigma))
+        full = lambda v: np.apply_along_axis(np.convolve, 1, v, w)[:, k : k + x.shape[1]]
+        return full(x) / full(np.ones_like(x))
+
+    return _udf(f)(col)
+
+
+def prominent_peaks(x: np.ndarray, prominence: float, threshold: float, distance: int) -> np.ndarray:
+    """1 at peaks (no neighbour larger) of at least ``threshold`` that rise
+    ``prominence`` over the higher of the lows towards larger samples; of peaks
+    closer than ``distance`` the higher one (ties: the first)."""
+    n = len(x)
+    padded = np.concatenate([[-np.inf], x, [-np.inf]])
+    peaks = np.flatnonzero((x >= padded[:-2]) & (x >= padded[2:]) & (x >= threshold))
+    kept = []
+    for p in peaks:
+        left = np.flatnonzero(x[:p] > x[p])
+        right = np.flatnonzero(x[p + 1 :] > x[p])
+        lo = x[(left[-1] if len(left) else 0) : p + 1].min()
+        hi = x[p : (p + 1 + right[0] if len(right) else n - 1) + 1].min()
+        if x[p] - max(lo, hi) >= prominence:
+            kept.append(p)
+    out, taken = np.zeros(n), []
+    for p in sorted(kept, key=lambda p: (-x[p], p)):
+        if all(abs(p - q) >= distance for q in taken):
+            taken.append(p)
+    out[taken] = 1
+    return out
+
+
+def skeletonize(col, prominence: float = 0.05, threshold: float = 0.05, distance: int = 5) -> Column:
+    """1 at prominent peaks of each trace, 0 elsewhere."""
+    return _udf(lambda x: np.stack([prominent_peaks(r, prominence, threshold, distance) for r in x]))(col)
+
+
+def local_similarity(a: np.ndarray, b: np.ndarray, window: int = 9, strength: float = 0.5) -> np.ndarray:
+    """Regularised local similarity: the two least-squares ratios of a to b and
+    b to a, each smoothed by a triangle of ``window`` (shaping), solved
+    exactly; the square root of their product with the sign of the first."""
+    n = len(a)
+    h = np.convolve(np.ones(window), np.ones(window))
+    h = h / h.sum()
+    s = np.stack([np.convolve(e, h, "same") for e in np.eye(n)], axis=1)
+
+    def ratio(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        lam = strength * (q @ q) / n
+        return np.linalg.solve(lam * np.eye(n) + s @ (np.diag(q * q) - lam * np.eye(n)), s @ (q * p))
+
+    c, d = ratio(a, b), ratio(b, a)
+    return np.sign(c) * np.sqrt(np.clip(c * d, 0, None))
+
+
+def similarity(a, b, window: int = 9, strength: float = 0.5) -> Column:
+    def apply(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else local_similarity(np.asarray(p, float), np.asarray(q, float), window, strength) for p, q in zip(x, y, strict=True)])
+
+    return F.pandas_udf(apply, ARRAY)(a, b)
+
+
 def match(a: np.ndarray, b: np.ndarray, reach: int = 100, parts: int = 10, taper: float = 0.1) -> tuple[float, float, float, float]:
     """(shift, angle in degrees, gain, correlation) that bring b to a: peak of
     the envelope of the correlation over shifts -reach..reach by 1 / parts, and
