@@ -166,8 +166,11 @@ def triangular_weight(place: str, length: int, alpha: float = 0.1) -> Column:
 
 
 def accumulate(crops: DataFrame, how: str, value: str = "amp", crop: tuple[int, int, int] | None = None) -> DataFrame:
-    """Overlapping crops to one volume: max, mean, std, gmean, mode (ties: least), weighted."""
+    """Overlapping crops to one volume: max, mean, std, gmean, mode (ties:
+    least), weighted, noop (the crop of largest loc_id counts)."""
     v = F.col(value)
+    if how == "noop":
+        return crops.groupBy("i", "x", "d").agg(F.max_by(v, "loc_id").alias("v"))
     if how == "mode":
         c = crops.groupBy("i", "x", "d", v.alias("v")).agg(F.count("*").alias("n"))
         return c.groupBy("i", "x", "d").agg(F.max(F.struct("n", (-F.col("v")).alias("w"))).alias("b")).select("i", "x", "d", (-F.col("b.w")).alias("v"))
