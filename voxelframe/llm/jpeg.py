@@ -9,13 +9,16 @@ interval, so that a lost piece costs one block and many blocks are decoded at on
 
 decode accumulates all scans of a stream into coefficient arrays; it follows
 the entropy-coded syntax in general (Huffman tables, zero and end-of-band runs,
-restart intervals, refinement) for scans of one component of sequential 8-bit
-progressive frames, all restart intervals of a batch of images in step. The
-inverse transform is a matrix product in numpy; chroma is repeated to full
+restart intervals, refinement) for 8-bit progressive frames, all restart
+intervals of a batch of images in step; DC scans that interleave components are
+followed in order of their coded units, with the padding blocks beyond the
+edges. The inverse transform is a matrix product in numpy; chroma is repeated to full
 resolution and colours, by whole-number tables, become RGB tensors (height, width, 3).
 
 Cases. An empty or null text is one unit of padding. Streams of other kinds
-(baseline, interleaved scans) are refused with ValueError.
+(baseline, arithmetic coding), cut ones and such as don't keep to the syntax
+are refused with ValueError; ``decode_rgb`` gives a row without a tensor, with
+the reason, for each of them and for a null. Repeated rows are answered each.
 """
 
 from __future__ import annotations
@@ -194,6 +197,7 @@ class Scan:
     table: bytes
     begin: int
     end: int
+    mixed: tuple[tuple[int, bytes], ...] = ()  # (component, table) of a scan that interleaves several
 
 
 def _grid(im: Image) -> None:
@@ -206,12 +210,23 @@ _OTHER = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 
 
 def _parse(data: bytes, index: int, base: int) -> tuple[Image, list[Scan]]:
+    try:
+        return _parsed(data, index, base)
+    except (IndexError, AttributeError, KeyError, struct.error) as e:
+        raise ValueError(f"a cut or broken JPEG stream ({type(e).__name__})") from None
+
+
+def _parsed(data: bytes, index: int, base: int) -> tuple[Image, list[Scan]]:
     im, scans, tables, interval, at = Image(), [], {}, 0, 2
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG stream")
     while True:
+        if data[at] != 0xFF:
+            raise ValueError("no marker where one should be")
         marker = data[at + 1]
         if marker == 0xD9:
+            if not im.comps or not scans:
+                raise ValueError("no frame or no scan")
             return im, scans
         n = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + n]
@@ -222,12 +237,16 @@ def _parse(data: bytes, index: int, base: int) -> tuple[Image, list[Scan]]:
             k = 0
             while k < len(body):
                 wide = body[k] >> 4
+                if len(body) < k + 1 + 64 * (1 + wide):
+                    raise ValueError("a cut quantiser table")
                 q = np.frombuffer(body, ">u2" if wide else np.uint8, 64, k + 1)
                 im.quant[body[k] & 15] = q.astype(float)
                 k += 1 + 64 * (1 + wide)
         elif marker == 0xC2:
             im.height, im.width = struct.unpack(">HH", body[1:5])
             im.comps = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            if not im.height or not im.width or len(im.comps) not in (1, 3) or any(not 1 <= f <= 4 for c in im.comps for f in c[1:3]):
+                raise ValueError("a frame of no size or of other than one or three components")
             _grid(im)
         elif marker == 0xC4:
             k = 0
@@ -238,14 +257,20 @@ def _parse(data: bytes, index: int, base: int) -> tuple[Image, list[Scan]]:
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xDA:
-            if body[0] != 1:
-                raise ValueError("interleaved scans are not read")
-            comp = [c[0] for c in im.comps].index(body[1])
-            first, last, ah, al = body[3], body[4], body[5] >> 4, body[5] & 15
-            slot = body[2] >> 4 if first == 0 else 0x10 | body[2] & 15
-            end = _OTHER.search(data, at).start()
-            scans.append(Scan(index, comp, first, last, ah, al, interval, tables.get(slot, b""), base + at, base + end))
-            at = end
+            names = [c[0] for c in im.comps]
+            parts = [(names.index(body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
+            first, last, both = body[1 + 2 * body[0] : 4 + 2 * body[0]]
+            if last > 63 or first > last or (first == 0) != (last == 0) or len(parts) > 1 and first:
+                raise ValueError("a scan of a band that progressive frames don't have")
+            table = lambda slots: tables.get(slots >> 4 if first == 0 else 0x10 | slots & 15, b"")  # noqa: E731, B023
+            if not both >> 4 and not all(len(table(slots)) > 16 for _, slots in parts):
+                raise ValueError("a scan without its table")
+            found = _OTHER.search(data, at)
+            if not found:
+                raise ValueError("a stream without an end")
+            mixed = tuple((c, table(slots)) for c, slots in parts) if len(parts) > 1 else ()
+            scans.append(Scan(index, parts[0][0], first, last, both >> 4, both & 15, interval, table(parts[0][1]), base + at, base + found.start(), mixed))
+            at = found.start()
         elif 0xC0 <= marker <= 0xCF:
             raise ValueError("not a progressive Huffman frame")
 
@@ -304,6 +329,57 @@ def _dc(co: np.ndarray, bits: _Bits, at: np.ndarray, row: np.ndarray, end: np.nd
         at, row, end, pred = at[go], row[go], end[go], pred[go]
 
 
+def _units(im: Image, mixed: tuple[tuple[int, bytes], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(units, blocks of a unit): the coefficient row of each block of each
+    coded unit of an interleaved scan, -1 beyond the component's edge; and
+    which of the scan's components each block of a unit belongs to."""
+    hm, vm = max(c[1] for c in im.comps), max(c[2] for c in im.comps)
+    across, down = -(-im.width // (8 * hm)), -(-im.height // (8 * vm))
+    my, mx = np.divmod(np.arange(across * down), across)
+    rows, which = [], []
+    for k, (c, _) in enumerate(mixed):
+        _, h, v, _ = im.comps[c]
+        high, wide = im.grid[c]
+        for y in range(v):
+            for x in range(h):
+                r, q = my * v + y, mx * h + x
+                rows.append(np.where((r < high) & (q < wide), im.at[c] + r * wide + q, -1))
+                which.append(k)
+    return np.stack(rows, axis=1), np.array(which)
+
+
+def _dc_mixed(co: np.ndarray, bits: _Bits, at: np.ndarray, im: Image, s: Scan) -> None:
+    """A DC scan of several components; ``at``: where each restart interval begins."""
+    rows, which = _units(im, s.mixed)
+    step = s.interval or len(rows)
+    if len(at) != -(-len(rows) // step):
+        raise ValueError("restart intervals don't match the frame")
+    first = np.arange(len(at)) * step
+    pred = np.zeros((len(at), len(s.mixed)), np.int64)
+    for unit in range(min(step, len(rows))):
+        go = first + unit < len(rows)
+        for block, k in enumerate(which):
+            place = at[go]
+            if s.high:
+                value = bits.peek(place, 1) << s.low
+                place = place + 1
+            else:
+                sym, length = _lookup(s.mixed[k][1])
+                v = bits.peek(place, 16)
+                size = sym[v]
+                place = place + length[v]
+                pred[go, k] += np.where(size > 0, _extend(bits.peek(place, size), size), 0)
+                place = place + size
+                value = pred[go, k] << s.low
+            at[go] = place
+            row = rows[first[go] + unit, block]
+            in_ = row >= 0
+            if s.high:
+                co[row[in_], 0] |= value[in_].astype(np.int16)
+            else:
+                co[row[in_], 0] = value[in_]
+
+
 def _ac_first(co: np.ndarray, bits: _Bits, at: np.ndarray, row: np.ndarray, end: np.ndarray, s: Scan) -> None:
     sym, length = _lookup(s.table)
     k = np.full(len(at), s.first)
@@ -377,12 +453,14 @@ def decode_coefficients(streams: list[bytes]) -> tuple[list[Image], np.ndarray]:
     images, groups, base, rows = [], {}, 0, 0
     for k, data in enumerate(streams):
         im, scans = _parse(data, k, base)
+        if not set(c[3] for c in im.comps) <= set(im.quant):
+            raise ValueError("a component without its quantiser")
         for down, across in im.grid:
             im.at.append(rows)
             rows += down * across
         images.append(im)
         for number, s in enumerate(scans):
-            groups.setdefault((number, s.first, s.last, s.high, s.low, s.table), []).append(s)
+            groups.setdefault((number, s.first, s.last, s.high, s.low, s.table, s.mixed, k if s.mixed else -1), []).append(s)
         base += len(data)
     raw = np.frombuffer(b"".join(streams), np.uint8)
     stuffed = np.zeros(len(raw), bool)
@@ -403,6 +481,9 @@ def decode_coefficients(streams: list[bytes]) -> tuple[list[Image], np.ndarray]:
         place = begin[own]
         later = inner > 0
         place[later] = restarts[(a[own] + inner - 1)[later]] + 2
+        if scans[0].mixed:
+            _dc_mixed(co, bits, (place - moved[place]) * 8, images[scans[0].image], scans[0])
+            continue
         total = np.array([images[s.image].grid[s.comp][0] * images[s.image].grid[s.comp][1] for s in scans])
         step = np.array([s.interval or t for s, t in zip(scans, total, strict=True)])
         first = np.array([images[s.image].at[s.comp] for s in scans])
@@ -497,19 +578,36 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def tensors(streams: list[bytes]) -> list[tuple[int, int, bytes] | str]:
+    """(height, width, RGB bytes) of each stream, or why it can't be read."""
+    try:
+        images, co = decode_coefficients(streams)
+        samples = inverse_transform(images, co)
+        return [(im.height, im.width, to_rgb(im, samples).tobytes()) for im in images]
+    except (ValueError, IndexError) as e:
+        if len(streams) == 1:
+            return [str(e) if isinstance(e, ValueError) else "coded data that don't keep to the syntax"]
+    return [t for s in streams for t in tensors([s])]
+
+
 def decode_rgb(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, height, width, rgb: binary): full-resolution tensors."""
+    """(doc_id, height, width, rgb: binary, error): full-resolution tensors; a
+    stream that can't be read, or null, has no tensor but an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _grouped([len(m) for m in b.column(1).to_pylist()]):
-                images, co = decode_coefficients(b.column(1)[part].to_pylist())
-                samples = inverse_transform(images, co)
-                out = [to_rgb(im, samples).tobytes() for im in images]
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.array([im.height for im in images], pa.int32()), pa.array([im.width for im in images], pa.int32()), pa.array(out, pa.binary())], ["doc_id", "height", "width", "rgb"])
-
-    rows = media.where(media[media_col].isNotNull()).select(media[id_col].cast("long").alias("doc_id"), media[media_col])
-    return rows.mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+            data = b.column(1).to_pylist()
+            for part in _grouped([len(m or b"") for m in data]):
+                out: list = ["no stream"] * (part.stop - part.start)
+                have = [k for k, m in enumerate(data[part]) if m is not None]
+                for k, t in zip(have, tensors([data[part][k] for k in have]) if have else [], strict=True):
+                    out[k] = t
+                got = [(*t, None) if isinstance(t, tuple) else (None, None, None, t) for t in out]
+                cols = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], *cols], ["doc_id", "height", "width", "rgb", "error"])
+
+    rows = media.select(media[id_col].cast("long").alias("doc_id"), media[media_col].alias("media"))
+    return rows.mapInArrow(run, "doc_id long, height int, width int, rgb binary, error string")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
