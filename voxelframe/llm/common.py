@@ -37,12 +37,12 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str = "step") -> DataFrame:
+def materialize(df: DataFrame, what: str = "step", level: int = 3) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again, which
-    cuts lineage and survives the loss of executors."""
+    cuts lineage and survives the loss of executors. level: of zstandard."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxelframe_path = path
     return out
