@@ -5,12 +5,14 @@ ordered thresholds cut its score s into grades: P(y <= j) = logistic(t_j - s).
 From it follow the expected grade and the tail probabilities P(y >= j).
 
 The fit uses at most ``sample`` labelled documents, those of smallest hashed id
-(the bound is what makes it safe to gather their features on the driver); the
-scores cover all documents, by one map over the table.
+(the bound is what makes it safe to gather their features in one task); the
+scores cover all documents, by one map over the table. A very long text is a
+set of features like any other.
 
 Cases. Null and empty texts have the constant feature only. Without labels, or
 with one grade only, the weights are zero and all documents score alike: the
-top grade. Null ids and repeated rows are scored as any other row.
+top grade. Null ids and repeated rows are scored as any other row. Other
+columns, whatever their names, are kept by ``select_rows`` and not read.
 """
 
 from __future__ import annotations
@@ -70,6 +72,25 @@ class OrdinalModel:
         return _logistic(scores[:, None] - self.thresholds[None, :])
 
 
+def thresholds_of(first: float, steps: np.ndarray) -> np.ndarray:
+    """Ordered: the first one and positive distances exp(steps)."""
+    return first + np.concatenate([[0], np.cumsum(np.exp(steps))])
+
+
+def gradients(s: np.ndarray, y: np.ndarray, first: float, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log likelihood of grades y at scores s: by each
+    score, and by (first, steps)."""
+    t = thresholds_of(first, steps)
+    f = _logistic(t[None, :] - s[:, None])
+    up = np.concatenate([f, np.ones((len(y), 1))], axis=1)[np.arange(len(y)), y]
+    lo = np.concatenate([np.zeros((len(y), 1)), f], axis=1)[np.arange(len(y)), y]
+    p = np.maximum(up - lo, 1e-9)
+    d = f * (1 - f)
+    at_t = np.stack([((y == j + 1).astype(float) - (y == j)) * d[:, j] / p for j in range(len(t))], axis=1)
+    gt = at_t.mean(axis=0)
+    return (1 - up - lo) / len(y), np.array([gt.sum(), *(gt[j + 1 :].sum() * np.exp(steps[j]) for j in range(len(steps)))])
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_least: int = 2000, epochs: int = 20, batch: int = 256, rate: float = 1.0, threshold_rate: float = 0.2, l2: float = 1e-5, least_df: int = 4, least_z: float = 5.0, least_phi: float = 0.1, power: float = 1.5, bits: int = BITS, seed: int = 7) -> OrdinalModel:
     """Mini-batch adaptive-gradient descent on the cumulative-link likelihood.
     The thresholds are the first one plus positive steps, so they stay ordered.
@@ -115,33 +136,39 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, steps_l
             own = np.repeat(np.arange(len(pick)), n)
             s = np.bincount(own, w[idx] * value[idx], len(pick))
             y = grades[pick]
-            t = first + np.concatenate([[0], np.cumsum(np.exp(steps))])
-            f = _logistic(t[None, :] - s[:, None])
-            up = np.concatenate([f, np.ones((len(y), 1))], axis=1)[np.arange(len(y)), y]
-            lo = np.concatenate([np.zeros((len(y), 1)), f], axis=1)[np.arange(len(y)), y]
-            p = np.maximum(up - lo, 1e-9)
-            g = np.bincount(idx, ((1 - up - lo) / len(y))[own], 1 << bits)
+            by_score, gt = gradients(s, y, first, steps)
+            g = np.bincount(idx, by_score[own], 1 << bits)
             touched = np.flatnonzero(g)
             g = g[touched] * value[touched] + l2 * w[touched]
             square[touched] += g * g
             w[touched] -= rate * g / np.sqrt(square[touched])
-            d = f * (1 - f)
-            at_t = np.zeros((len(y), levels - 1))
-            for j in range(levels - 1):
-                at_t[:, j] = ((y == j + 1).astype(float) - (y == j)) * d[:, j] / p
-            gt = at_t.mean(axis=0)
-            g_first = gt.sum()
-            g_steps = np.array([gt[j + 1 :].sum() * np.exp(steps[j]) for j in range(levels - 2)])
-            gt = np.concatenate([[g_first], g_steps])
             square_t += gt * gt
             move = threshold_rate * gt / np.sqrt(square_t)
             first -= move[0]
             steps -= move[1:]
-    return OrdinalModel((w * value).astype(np.float32), first + np.concatenate([[0], np.cumsum(np.exp(steps))]))
+    return OrdinalModel((w * value).astype(np.float32), thresholds_of(first, steps))
+
+
+FITTED = "places binary, weights binary, thresholds array<double>"
+
+
+def _fit(levels: int):
+    """From (i, g, f) of all rated documents one row: the fitted model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        got.sort()
+        rows, grades = [np.frombuffer(f, np.uint32) for _, _, f in got], np.array([g for _, g, _ in got], int)
+        m = fit_ordinal(rows, grades, levels)
+        at = np.flatnonzero(m.weights).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([m.weights[at].tobytes()], pa.binary()), pa.array([m.thresholds.tolist()], pa.list_(pa.float64()))], ["places", "weights", "thresholds"])
+
+    return run
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
-    """Fit on the at most ``sample`` rated documents of smallest hashed id."""
+    """Fit on the at most ``sample`` rated documents of smallest hashed id, in one
+    task; of rows with one id the least text counts. Only the model comes to the driver."""
     few = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(grade_col).cast("int").alias("g")).orderBy(F.xxhash64("i"), "i", "g").limit(sample)
     texts = docs.select(F.col(id_col).alias("j"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), F.col("i") == F.col("j"))
 
@@ -149,10 +176,13 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 12_000
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["i", "g", "f"])
 
-    got = sorted(texts.select("i", "g", "text").mapInArrow(run, "i long, g int, f binary").collect(), key=lambda r: (r["i"], r["g"], bytes(r["f"])))
-    rows, grades = [np.frombuffer(r["f"], np.uint32) for r in got], np.array([r["g"] for r in got], int)
-    del got
-    return fit_ordinal(rows, grades, levels)
+    rows = texts.groupBy("i", "g").agg(F.min("text").alias("text")).mapInArrow(run, "i long, g int, f binary")
+    m = rows.repartition(1).mapInArrow(_fit(levels), FITTED).first()
+    weights = np.zeros(1 << BITS, np.float32)
+    if m is None:
+        return OrdinalModel(weights, np.full(levels - 1, -5.0) + np.arange(levels - 1))
+    weights[np.frombuffer(m["places"], np.uint32)] = np.frombuffer(m["weights"], np.float32)
+    return OrdinalModel(weights, np.array(m["thresholds"]))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
