@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -207,6 +208,65 @@ def test_jpeg(docs):
     assert all(len(r["rgb"]) == 3 * r["height"] * r["width"] for r in rgb)
 
 
+def interleaved(width, height, factors, values, interval):
+    """A progressive stream of DC scans that interleave all components: values
+    of component c by block row and column of the padded frame."""
+    hm, vm = max(h for h, _ in factors), max(v for _, v in factors)
+    across, down = -(-width // (8 * hm)), -(-height // (8 * vm))
+    order = [(c, my * v + y, mx * h + x) for my in range(down) for mx in range(across) for c, (h, v) in enumerate(factors) for y in range(v) for x in range(h)]
+    per = len(order) // (across * down)
+
+    def coded(low):
+        out = b""
+        for at in range(0, len(order), per * (interval or len(order))):
+            bits, pred = "", [0] * len(factors)
+            for c, r, q in order[at : at + per * (interval or len(order))]:
+                if low:
+                    bits += str(values[c][r, q] & 1)
+                    continue
+                diff = int(values[c][r, q] >> 1) - pred[c]
+                pred[c] += diff
+                n = abs(diff).bit_length()
+                bits += f"{n:04b}" + (f"{diff if diff > 0 else diff + (1 << n) - 1:0{n}b}" if n else "")
+            raw = np.packbits([int(b) for b in bits.ljust(-(-len(bits) // 8) * 8, "1")]).tobytes().replace(b"\xff", b"\xff\x00")
+            out += (bytes([0xFF, 0xD0 + (at // (per * interval) - 1) % 8]) if at else b"") + raw
+        return out
+
+    frame = struct.pack(">BHHB", 8, height, width, len(factors)) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(factors))
+    scan = lambda a, b: jpeg._segment(0xDA, bytes([len(factors)]) + b"".join(bytes([k + 1, 0]) for k in range(len(factors))) + bytes([0, 0, a << 4 | b]))
+    head = b"\xff\xd8" + jpeg._segment(0xDB, bytes([0]) + b"\x01" * 64) + jpeg._segment(0xC2, frame) + jpeg._huffman(0, jpeg.DC_CODES)
+    head += jpeg._segment(0xDD, struct.pack(">H", interval)) if interval else b""
+    return head + scan(0, 1) + coded(False) + scan(1, 0) + coded(True) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("interval", [0, 1, 3])
+@pytest.mark.parametrize("factors", [[(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1), (1, 1), (1, 1)]])
+def test_jpeg_interleaved(factors, interval):
+    """20 x 37 pixels: the units reach beyond the edges. Coefficients are known."""
+    rng = np.random.default_rng(6)
+    values = [rng.integers(-300, 300, (8, 12)) for _ in factors]
+    images, co = jpeg.decode_coefficients([interleaved(37, 20, factors, values, interval)] * 2)
+    for im in images:
+        for v, (down, across), at in zip(values, im.grid, im.at, strict=True):
+            assert co[at : at + down * across, 0].tolist() == v[:down, :across].ravel().tolist()
+    assert not co[:, 1:].any()
+    rgb = jpeg.to_rgb(images[0], jpeg.inverse_transform(images, co))
+    y = np.clip(values[0][0, 0] / 8 + 128.5 + 1e-6, 0, 255).astype(np.uint8)
+    cb, cr = (int(np.clip(values[k][0, 0] / 8 + 128.5 + 1e-6, 0, 255)) - 128 for k in (1, 2))
+    want = [int(y) + round(1.402 * cr), int(y) + round(-0.344136 * cb) + round(-0.714136 * cr), int(y) + round(1.772 * cb)]
+    assert rgb.shape == (20, 37, 3) and rgb[0, 0].tolist() == np.clip(want, 0, 255).tolist()
+
+
+def test_jpeg_broken(spark):
+    """Streams that can't be read give a row with a reason and harm no others."""
+    good = jpeg.encode_payloads([jpeg.padded(b"some text")])[0]
+    bad = [None, b"", b"\xff\xd8", b"\xff\xd8\xff\xd9", b"plain", good[:40], good[: len(good) // 2], good[:-2], good.replace(b"\xff\xc2", b"\xff\xc0"), b"\xff\xd8\xff\xda\x00\x08\x01"]
+    media = spark.createDataFrame([(k, m) for k, m in enumerate([good, *bad, good])], "doc_id long, media binary").coalesce(1)
+    out = by_id(jpeg.decode_rgb(media))
+    assert all(out[k]["rgb"] is None and out[k]["error"] for k in range(1, len(bad) + 1))
+    assert out[0]["error"] is None and out[0]["rgb"] == out[len(bad) + 1]["rgb"] and out[0]["height"] > 0
+
+
 def test_jpeg_runs():
     """A hand-made scan with zero runs, an end-of-band run and refinement."""
     table = lambda symbols: bytes([0] * 3 + [len(symbols)] + [0] * 12) + bytes(symbols)
@@ -242,6 +302,36 @@ def test_quality():
     assert quality.fit_ordinal([], np.array([], int), 3).tails(np.zeros(1)).min() > 0.9
 
 
+def test_quality_gradients():
+    """Gradients against differences of the mean negative log likelihood."""
+    rng = np.random.default_rng(9)
+    s, y, first, steps = rng.normal(size=40), rng.integers(0, 4, 40), -0.7, np.array([0.2, -0.5])
+
+    def loss(s, first, steps):
+        f = 1 / (1 + np.exp(-(quality.thresholds_of(first, steps)[None, :] - s[:, None])))
+        edge = np.concatenate([np.zeros((len(s), 1)), f, np.ones((len(s), 1))], axis=1)
+        return -np.log(edge[np.arange(len(s)), y + 1] - edge[np.arange(len(s)), y]).mean()
+
+    by_score, by_threshold = quality.gradients(s, y, first, steps)
+    e = 1e-6
+    for k in range(len(s)):
+        d = np.eye(len(s))[k] * e
+        assert by_score[k] == pytest.approx((loss(s + d, first, steps) - loss(s - d, first, steps)) / (2 * e), abs=1e-6)
+    assert by_threshold[0] == pytest.approx((loss(s, first + e, steps) - loss(s, first - e, steps)) / (2 * e), abs=1e-6)
+    for j in range(2):
+        d = np.eye(2)[j] * e
+        assert by_threshold[j + 1] == pytest.approx((loss(s, first, steps + d) - loss(s, first, steps - d)) / (2 * e), abs=1e-6)
+
+
+def test_quality_repeated_ids(spark):
+    """Many rows of one rated id count once, and the fit is that of one row."""
+    rows = [(k, f"good fine words {k}" if k % 2 else f"bad poor words {k}") for k in range(60)]
+    ratings = spark.createDataFrame([(k, 2 if k % 2 else 0) for k in range(60)], "doc_id long, grade int")
+    one = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), ratings, 3)
+    many = quality.train(spark.createDataFrame(rows + rows[:5] * 40, "doc_id long, text string"), ratings, 3)
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.thresholds, many.thresholds)
+
+
 def test_quality_frames(spark, docs, none):
     ratings = spark.createDataFrame([(5, 2), (9, 0), (None, 1)], "doc_id long, grade int")
     m = quality.train(docs, ratings, 3)
