@@ -6,8 +6,10 @@ parts lie within the same scope, a distance of ``scope`` code points: a strong
 part of another role, or weak parts of both other roles. The join of parts
 within scopes is a plane sweep: parts are sorted by start, and one pass in each
 direction carries the furthest end (nearest start) of each kind of part, so
-that a document with n parts costs n steps and no pairs are formed. All of it
-runs within the row: nothing is shuffled, and any row may be recomputed alone.
+that no pairs of parts are formed. (The fold copies its list at each step, so
+a document with n parts costs n steps of up to n: 2000 parts took 1.2 s,
+16000 5.7 s.) All of it runs within the row: nothing is shuffled, and any row
+may be recomputed alone.
 
 Cases. Null and empty texts have no spans. Spans are in code points, end
 exclusive. Weak parts that overlap a base span are not reported again. Repeated
@@ -79,7 +81,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", scope: int = 200) -> D
     df = df.withColumn("_base", F.array_sort(F.concat("_k0", "_k1", "_k2"))).withColumn("_weak", F.concat("_k3", "_k4", "_k5"))
     df = df.withColumn("_parts", F.array_sort(F.concat("_base", "_weak")))
     some = (F.size("_weak") > 0) & (F.size("_parts") > 1)
-    df = df.withColumn("_linked", F.when(some, _swept("_parts", scope)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
+    df = df.withColumn("_linked", F.when(some, F.array_sort(_swept("_parts", scope))).otherwise(F.expr(f"cast(array() as {_SPAN})")))
     return df.drop("_k0", "_k1", "_k2", "_k3", "_k4", "_k5", "_weak", "_parts")
 
 
@@ -92,9 +94,11 @@ def spans_string(spans: Column) -> Column:
 def redact_secrets(docs: DataFrame, text_col: str = "text", scope: int = 200, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with all spans in ``text_col`` replaced by ``mask``; overlapping
     spans become one. A null text stays null."""
-    df = scan_secrets(docs, text_col, scope).withColumn("_all", F.array_sort(F.concat("_base", "_linked")))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # by place inside, so that no name clashes
+    text = names[docs.columns.index(text_col)]
+    df = scan_secrets(docs.toDF(*names), text, scope).withColumn("_all", F.array_sort(F.concat("_base", "_linked")))
     cut = F.expr("""aggregate(_all, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> named_struct('at', greatest(a.at, x.e),
           'out', if(x.s >= a.at, concat(a.out, array(substring(_text, a.at + 1, x.s - a.at), '%s')), a.out)),
         a -> concat(array_join(a.out, ''), substring(_text, a.at + 1)))""" % mask.replace("'", "''"))
-    return df.withColumn(text_col, F.when(F.size("_all") > 0, cut).otherwise(F.col(text_col))).select(*docs.columns)
+    return df.withColumn(text, F.when(F.size("_all") > 0, cut).otherwise(F.col(text))).select(*names).toDF(*docs.columns)
