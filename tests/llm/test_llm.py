@@ -175,6 +175,71 @@ def test_secrets_base_random(spark):
         assert r["s"] == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(s))
 
 
+def test_secrets_linked_random(spark):
+    """Linked weak parts against all pairs of parts."""
+    rng = np.random.default_rng(12)
+    bits = ["user=deploy ", "login: someone ", "https://db.example.com/x ", "10.0.0.7 ", "kQ9+" * 9 + " ", "password = hunter2hunter ", "AKIA" + "Z9" * 9 + " ", "0a" * 13 + " ", "word " * 30, "é𝄞 ", "token", "x" * 150 + " ", "\n"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(300)]
+    df = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", secrets.spans_string(F.col("_linked")).alias("s"))
+    total = 0
+    for i, r in by_id(df).items():
+        parts = []
+        for k, (_, c, pattern, group, least) in enumerate(secrets.KINDS):
+            for m in re.finditer(pattern, texts[i], re.A):
+                if len(m[group]) >= least:
+                    parts.append((m.start(), k, m.end(), c))
+        parts.sort()
+        want = []
+        for n, (s, k, e, c) in enumerate(parts):
+            if c < 2 or any(y[3] < 2 and y[2] > s and y[0] < e for y in parts):
+                continue
+            near = [any(y[3] == j and (s - y[2] if m < n else y[0] - e) <= 200 for m, y in enumerate(parts) if m != n) for j in range(5)]
+            if {2: near[1] or near[3] and near[4], 3: near[0] or near[2] and near[4], 4: near[0] or near[1] or near[2] and near[3]}[c]:
+                want.append(f"{secrets.KINDS[k][0]}:{s}:{e}")
+        assert r["s"] == ",".join(want)
+        total += len(want)
+    assert total > 300
+
+
+def test_redaction_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "password = hunter2hunter", "mine", "base")], "doc_id long, text string, _text string, _base string")
+    r = secrets.redact_secrets(df).first()
+    assert tuple(r) == (1, "[SECRET]", "mine", "base")
+
+
+@pytest.mark.parametrize("shard_rows", [10_000, 40])
+def test_pack_whole(spark, shard_rows):
+    """Chunks, conflicts and shards against a search of all bins for each piece."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(rng.integers(0, 260)), str(rng.integers(0, 6)), int(rng.integers(0, 40)) if rng.random() < 0.5 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, source string, c long")
+    out = packing.pack(df, F.col("n"), F.col("source"), F.col("c"), 100, shard_rows).collect()
+    shards = max(1, -(-len(rows) // shard_rows))
+    shard = {r["doc_id"]: r["s"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("s")).collect()}
+    want = {}
+    for s in set(shard.values()):
+        mine = sorted(r for r in rows if shard[r[0]] == s)
+        full = 0
+        pieces = []
+        for i, n, src, c in mine:
+            for k in range(n // 100):
+                want[i, k] = (s << 32 | full, 0, 100)
+                full += 1
+            if n % 100:
+                pieces.append((-(n % 100), len(pieces), i, n // 100, src, c))
+            if not n:
+                want[i, 0] = (None, 0, 0)
+        bins = []
+        for m, _, i, k, src, c in sorted(pieces):
+            fits = [(100 - sum(p[0] for p in b), j) for j, b in enumerate(bins) if sum(p[0] for p in b) - m <= 100 and all(p[1] != src and (c is None or p[2] != c) for p in b)]
+            j = min(fits)[1] if fits else len(bins)
+            if j == len(bins):
+                bins.append([])
+            want[i, k] = (s << 32 | full + j, sum(p[0] for p in bins[j]), -m)
+            bins[j].append((-m, src, c))
+    assert {(r["doc_id"], r["chunk"]): (r["bin"], r["offset"], r["n_tokens"]) for r in out} == want
+
+
 def test_vp_tree(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 12))
