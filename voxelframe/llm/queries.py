@@ -36,9 +36,9 @@ def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factor 1: the search is exact, so that SQL can check it."""
+    """Factor 5: recall of 0.996 and more against exact search at every size measured (README), and 1 where SQL checks it."""
     rows = table(spark, sf_dir, "embeddings")
-    return search(build_index(rows), rows.where("vec_id % 20 = 0"), k=20, factor=1.0)
+    return search(build_index(rows), rows.where("vec_id % 20 = 0"), k=20, factor=5.0)
 
 
 def op2_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
