@@ -165,3 +165,35 @@ def test_cube_limits(spark):
     assert [r["samples"] for r in c[0, :, -2:].collect()] == [[2.0, 3.0]]
     with pytest.raises(TypeError):
         cube.Cube.new(spark, __file__)
+
+
+def test_principal_components(spark):
+    """Against a singular value decomposition; rows with a null are left out."""
+    from voxelframe.operators.matching import principal_components
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(80, 4)) @ rng.normal(size=(4, 4))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(1.0, None, 2.0, 3.0)], "a double, b double, c double, d double")
+    got = np.array([[r[f"pc{k}"] for k in range(3)] for r in principal_components(df, list("abcd"), 3).collect()])
+    z = x - x.mean(0)
+    v = np.linalg.svd(z, full_matrices=False)[2][:3].T
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(3)])
+    assert np.allclose(np.sort(got, axis=0), np.sort(z @ v, axis=0))
+
+
+def test_picks_kind(tmp_path):
+    from voxelframe.sources import text
+
+    (tmp_path / "a.txt").write_text("1 2 3\n" * 30_000)
+    (tmp_path / "b.txt").write_text("1 2 3 4\n" * 30_000)
+    (tmp_path / "c.txt").write_text("1 2 3\n")
+    (tmp_path / "d.segy").write_text("1 2 3\n" * 30_000)
+    assert [text.is_picks(str(tmp_path / n)) for n in ("a.txt", "b.txt", "c.txt", "d.segy", "none")] == [True, False, False, False, False]
+
+
+def test_checkshot(spark, tmp_path):
+    from voxelframe.sources import text
+
+    (tmp_path / "w.txt").write_text("head line\n" * 14 + "1.5 2.5 -100 -80 120 W1 2000 2100\n3 4 -200 -160 240 W1 2001 2101\n")
+    got = sorted(map(tuple, text.read_checkshot(spark, str(tmp_path / "w.txt")).collect()))
+    assert got == [("W1", 1.5, 2.5, 100.0, 80.0, 120.0), ("W1", 3.0, 4.0, 200.0, 160.0, 240.0)]

@@ -256,3 +256,29 @@ def extension_grid(surface: DataFrame, shape: tuple[int, int], crop: tuple[int,
 def named(rows: DataFrame, names: DataFrame, key: str, name: str = "name") -> DataFrame:
     """``rows`` with the name of ``key`` from a table (key, name)."""
     return rows.join(names.select(key, name), key, "left")
+
+
+def crop_components(mask: DataFrame) -> DataFrame:
+    """(loc_id, c, ci, cx, d): surfaces in each crop by itself: components of the
+    mask's cells (loc_id, ci, cx, cd), with their mean depth by trace. Crops are
+    spread apart so that they don't touch."""
+    from .components import grid_components
+
+    v = mask.select((F.col("loc_id") * 2).alias("l"), *PLACE)
+    c = grid_components(v, ["l", *PLACE], "((l * 4096L + ci) * 4096L + cx) * 4096L + cd", 16)
+    return c.groupBy((F.col("l") / 2).cast("long").alias("loc_id"), "c", "ci", "cx").agg(F.rint(F.avg("cd")).cast("long").alias("d"))
+
+
+def resized(c: DataFrame, shape: tuple[int, int, int], to: tuple[int, int, int]) -> DataFrame:
+    """Crops resampled linearly along each axis (cell centres, ends held): each
+    cell takes the cells around its place with weights that sum to 1."""
+    out = c
+    for p, n, m in zip(PLACE, shape, to, strict=True):
+        if n == m:
+            continue
+        grid = c.sparkSession.range(m).select(F.col("id").alias("_t"), F.least(F.greatest((F.col("id") + 0.5) * n / m - 0.5, F.lit(0.0)), F.lit(n - 1.0)).alias("_p"))
+        near = F.array_distinct(F.array(F.floor("_p"), F.least(F.floor("_p") + 1, F.lit(n - 1))))
+        w = grid.select("_t", "_p", F.explode(near).alias(p)).select("_t", p, F.greatest(1 - F.abs(F.col(p) - F.col("_p")), F.lit(0.0)).alias("_w")).where("_w > 0")
+        rest = [k for k in ("loc_id", *PLACE) if k != p]
+        out = out.join(F.broadcast(w), p).groupBy(*rest, "_t").agg(F.sum(F.col("amp") * F.col("_w")).alias("amp")).withColumnRenamed("_t", p)  # two rows of weights for each place
+    return out.select("loc_id", *PLACE, "amp")

@@ -290,3 +290,26 @@ def log_in_boxes(logs: DataFrame, boxes: DataFrame, cell: int = 64) -> DataFrame
     b = boxes.withColumn("ci", F.explode(near("i"))).withColumn("cx", F.explode(near("x")))
     p = logs.withColumns({"ci": F.floor(F.col("i") / cell), "cx": F.floor(F.col("x") / cell)})
     return p.join(b, ["ci", "cx"]).where("i >= i0 and i < i1 and x >= x0 and x < x1 and d >= d0 and d < d1").select("loc_id", "i", "x", "d", "v")
+
+
+def pseudo_logs(traces: DataFrame, interval: float) -> DataFrame:
+    """(i, x, sample, time, value): a trace as logs over depth."""
+    v = traces.select("i", "x", F.posexplode("samples").alias("sample", "value"))
+    return v.select("i", "x", F.col("sample").cast("long").alias("sample"), (F.col("sample") * interval).alias("time"), "value")
+
+
+def principal_components(rows: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
+    """``rows`` with pc0 ... of the columns' leading principal axes; rows with a
+    null there are left out. One row of covariances comes to the driver; the
+    largest entry of each axis is positive."""
+    r = rows.dropna(subset=columns)
+    k = len(columns)
+    got = r.agg(*(F.avg(c) for c in columns), *(F.covar_pop(a, b) for a in columns for b in columns)).first()
+    if got[0] is None:
+        return r.select("*", *(F.lit(None).cast("double").alias(f"pc{j}") for j in range(n)))
+    mean, cov = np.array(got[:k], float), np.array(got[k:], float).reshape(k, k)
+    values, axes = np.linalg.eigh(cov)
+    axes = axes[:, np.argsort(values)[::-1][:n]]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    project = lambda v: sum(((F.col(c) - float(m)) * float(w) for c, m, w in zip(columns, mean, v, strict=True)), F.lit(0.0))
+    return r.select("*", *(project(axes[:, j]).alias(f"pc{j}") for j in range(axes.shape[1])))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def confusion(pairs: DataFrame, true: str, pred: str) -> DataFrame:
-    """Counts and ratios of two 0/1 columns."""
+def confusion(pairs: DataFrame, true: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """Counts and ratios of two 0/1 columns, for each of ``by``."""
+    by = by or []
     t, p = F.col(true) == 1, F.col(pred) == 1
-    c = pairs.agg(F.count(F.when(t & p, 1)).alias("tp"), F.count(F.when(~t & ~p, 1)).alias("tn"), F.count(F.when(~t & p, 1)).alias("fp"), F.count(F.when(t & ~p, 1)).alias("fn"))
+    c = pairs.groupBy(*by).agg(F.count(F.when(t & p, 1)).alias("tp"), F.count(F.when(~t & ~p, 1)).alias("tn"), F.count(F.when(~t & p, 1)).alias("fp"), F.count(F.when(t & ~p, 1)).alias("fn"))
     r = lambda a, b: F.round(F.when(b > 0, a / b), 6)
     tp, tn, fp, fn = (F.col(k) for k in ("tp", "tn", "fp", "fn"))
-    return c.select("tp", "tn", "fp", "fn", r(tp, tp + fn).alias("sensitivity"), r(tn, tn + fp).alias("specificity"), r(tp, tp + fp).alias("precision"), r(2 * tp, 2 * tp + fp + fn).alias("dice"), r(tp, tp + fp + fn).alias("iou"))
+    return c.select(*by, "tp", "tn", "fp", "fn", r(tp, tp + fn).alias("sensitivity"), r(tn, tn + fp).alias("specificity"), r(tp, tp + fp).alias("precision"), r(2 * tp, 2 * tp + fp + fn).alias("dice"), r(tp, tp + fp + fn).alias("iou"))
 
 
 def fault_similarity(voxels: DataFrame, mask: DataFrame, shifts: tuple[int, ...] = (-20, -15, -5, 5, 15, 20)) -> DataFrame:

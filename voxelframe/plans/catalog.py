@@ -188,4 +188,4 @@ def _sticks(s: SparkSession, d: str) -> DataFrame:
 add("sticks_to_points", lambda s, d: geometry.sticks_to_points(_sticks(s, d)))
 add("windowed_logs", lambda s, d: windowed_logs(table(s, d, "events")), None, None)
 ORACLES["windowed_logs"] = "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2"
-from . import batch_queries, cube_queries, fault_queries, signal_queries, surface_queries  # noqa: E402, F401 - these modules register their own queries
+from . import batch_queries, cube_queries, extra_queries, fault_queries, signal_queries, surface_queries  # noqa: E402, F401 - these modules register their own queries

@@ -19,9 +19,47 @@ def read_picks(spark: SparkSession, path: str) -> DataFrame:
     return t.where((F.size("t") == 3) | wide).select(at(0, 2).alias("inline"), at(1, 5).alias("crossline"), at(2, 8).alias("depth")).where("inline is not null and crossline is not null and depth is not null")
 
 
-def write_picks(surface: DataFrame, path: str) -> None:
-    """Points (i, x, d) as sorted, space-separated whole lines."""
-    surface.repartitionByRange("i", "x").sortWithinPartitions("i", "x").select(F.concat_ws(" ", *(F.col(c).cast("string") for c in "ixd"))).write.text(path)
+def is_picks(path: str, least: int = 100, bad: tuple[str, ...] = ("sgy", "segy", "hdf5", "py", "ipynb", "json", "las", "parquet")) -> bool:
+    """Whether a local file looks like picks: not of another kind by its ending,
+    ``least`` kB or more, and three or nine columns in its first line."""
+    from pathlib import Path
+
+    p = Path(path)
+    if p.suffix.lower().lstrip(".") in bad or not p.is_file() or p.stat().st_size < least * 1024:
+        return False
+    with p.open(errors="replace") as f:
+        n = len(f.readline().split())
+    return n == 3 or n >= 9
+
+
+def load_picks(spark: SparkSession, path: str, inlines: tuple[int, int] = (0, 1), crosslines: tuple[int, int] = (0, 1), shape: tuple[int, int, int] | None = None, time: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """(i, x, d) of picks: lines (shift, step) to ordinals, depth by (delay,
+    interval) to whole samples, points outside ``shape`` left out."""
+    p = read_picks(spark, path)
+    at = lambda c, line: F.floor((F.col(c) - line[0]) / line[1])
+    p = p.select(at("inline", inlines).alias("i"), at("crossline", crosslines).alias("x"), F.rint((F.col("depth") - time[0]) / time[1]).cast("long").alias("d"))
+    for c, n in zip("ixd", shape or (), strict=False):
+        p = p.where((F.col(c) >= 0) & (F.col(c) < n))
+    return p
+
+
+def recover_lines(picks: DataFrame, fit: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """Picks (inline, crossline, cdp_x, cdp_y, ...) whose lines lie outside
+    0 ... shape take those of their coordinates. ``fit``: a row of cube.affine_fit."""
+    from ..operators.cube import cdp_to_lines
+
+    p = picks.withColumnsRenamed({"inline": "_i", "crossline": "_x"})
+    p = cdp_to_lines(p, fit)
+    lost = (F.col("_i") < 0) | (F.col("_i") >= shape[0]) | (F.col("_x") < 0) | (F.col("_x") >= shape[1])
+    return p.withColumn("inline", F.when(lost, F.col("inline")).otherwise(F.col("_i"))).withColumn("crossline", F.when(lost, F.col("crossline")).otherwise(F.col("_x"))).select(*picks.columns)
+
+
+def write_picks(surface: DataFrame, path: str, inlines: tuple[int, int] = (0, 1), crosslines: tuple[int, int] = (0, 1), time: tuple[float, float] | None = None) -> None:
+    """Points (i, x, d) as sorted, space-separated lines: values of inline and
+    crossline by (shift, step), depth in samples or, by (delay, interval), in ms."""
+    depth = F.col("d") * time[1] + time[0] if time else F.col("d")
+    v = [(F.col("i") * inlines[1] + inlines[0]), (F.col("x") * crosslines[1] + crosslines[0]), depth]
+    surface.repartitionByRange("i", "x").sortWithinPartitions("i", "x").select(F.concat_ws(" ", *(c.cast("string") for c in v))).write.text(path)
 
 
 def read_sticks(spark: SparkSession, path: str) -> DataFrame:
