@@ -57,6 +57,25 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+class Tables:
+    """Tables written on the way to a result, deleted together once it is written."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        self.made.append(materialize(df, what))
+        return self.made[-1]
+
+    def done(self, result: DataFrame, what: str) -> DataFrame:
+        """``result`` as a table of its own; all others go."""
+        out = materialize(result, what)
+        for t in self.made:
+            discard(t)
+        self.made = []
+        return out
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so once the
     driver has collected the objects that stand for them."""

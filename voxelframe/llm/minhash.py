@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, free, materialize, mix64, shingle_set, words_of
+from .common import Tables, documents, free, mix64, shingle_set, words_of
 from .graph import connected_components
 
 #: A group of left-over members with more pairs than this is compared in blocks.
@@ -122,24 +122,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _dense(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _dense(members: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
     """Members are grouped by chains of shared buckets. Groups that would give
     over DENSE pairs are taken out: (the other members, (g, id, n, c) of those
     or None)."""
     lowest = members.groupBy("bucket").agg(F.min("id").alias("lo"))
-    groups = materialize(connected_components(members.join(lowest, "bucket").select(F.col("id").alias("a"), F.col("lo").alias("b"))), "groups").select(F.col("node").alias("id"), F.col("component").alias("g"))
-    members = materialize(members.join(groups, "id"), "members")
+    groups = tables.keep(connected_components(members.join(lowest, "bucket").select(F.col("id").alias("a"), F.col("lo").alias("b")), tables), "groups").select(F.col("node").alias("id"), F.col("component").alias("g"))
+    members = tables.keep(members.join(groups, "id"), "members")
     sized = members.groupBy("g", "bucket", "c").agg(F.count("*").alias("k")).groupBy("g", "bucket").agg(F.sum("k").alias("t"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    big = materialize(sized.groupBy("g").agg((F.sum(F.col("t") * F.col("t") - F.col("q")) / 2).alias("w")).where(F.col("w") > DENSE).select("g"), "dense")
+    big = tables.keep(sized.groupBy("g").agg((F.sum(F.col("t") * F.col("t") - F.col("q")) / 2).alias("w")).where(F.col("w") > DENSE).select("g"), "dense")
     if big.isEmpty():
         return members.drop("g"), None
-    return members.join(big, "g", "left_anti").drop("g"), materialize(members.join(big, "g").select("g", "id", "n", "c").distinct(), "dense")
+    return members.join(big, "g", "left_anti").drop("g"), tables.keep(members.join(big, "g").select("g", "id", "n", "c").distinct(), "dense")
 
 
 BLOCKED = "g long, k int, ids binary, comps binary, ends binary, hashes binary"
 
 
-def _blockwise(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blockwise(dense: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Links (a, b) across components within each group, one for each two
     components and two blocks. Documents are dealt to blocks of about
     BLOCK_SHINGLES shingles; two blocks are compared by one product of
@@ -152,7 +152,7 @@ def _blockwise(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ends = np.cumsum([0] + [len(x) // 8 for x in blobs])
         return pa.table({"g": t.column("g")[:1].combine_chunks(), "k": t.column("k")[:1].combine_chunks(), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "comps": pa.array([t.column("c").to_numpy().tobytes()], pa.binary()), "ends": pa.array([ends.astype(np.int64).tobytes()], pa.binary()), "hashes": pa.array([b"".join(blobs)], pa.binary())})
 
-    blocks = materialize(dealt.join(sets, "id").select("g", "k", "id", "c", "s").groupBy("g", "k").applyInArrow(pack, BLOCKED), "blocks")
+    blocks = tables.keep(dealt.join(sets, "id").select("g", "k", "id", "c", "s").groupBy("g", "k").applyInArrow(pack, BLOCKED), "blocks")
     two = count.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "blocks").select("g", "k", F.explode(F.sequence("k", F.col("blocks") - 1)).alias("l"))
     other = blocks.select("g", F.col("k").alias("l"), *(F.col(c).alias(f"{c}2") for c in ("ids", "comps", "ends", "hashes")))
     n = int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -193,16 +193,16 @@ def _pair(x: str, y: str):
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rows: int = 5, bands: int = 32, leaders: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of
     ``docs``. component_id is the smallest id that links reach."""
-    percent = round(threshold * 100)
+    percent, tables = round(threshold * 100), Tables()
     texts = documents(docs, id_col, text_col)
-    sketch = materialize(texts.mapInArrow(_sketches(words, rows, bands), SKETCH), "sketch")
+    sketch = tables.keep(texts.mapInArrow(_sketches(words, rows, bands), SKETCH), "sketch")
     one = sketch.where("n_shingles > 0").groupBy("dig").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
-    reps = materialize(one.select("dig", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "reps")
+    reps = tables.keep(one.select("dig", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "reps")
 
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "id", "n", F.col("id").alias("c")), "members")
-    sets = materialize(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary, dig binary").dropDuplicates(["id", "dig"]).select("id", "s"), "sets")
+    members = tables.keep(banded.join(shared, "bucket").select("bucket", "band", "id", "n", F.col("id").alias("c")), "members")
+    sets = tables.keep(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary, dig binary").dropDuplicates(["id", "dig"]).select("id", "s"), "sets")
 
     free(docs.sparkSession)
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
@@ -216,9 +216,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
             order = F.struct("id", "n", "c") if k <= 0 else F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "c")
             lead = left.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.id").alias("y"), F.col("l.n").alias("m"), F.col("l.c").alias("d"))
         else:
-            members, dense = _dense(members)
+            members, dense = _dense(members, tables)
             if dense is not None:
-                comp = _joined(comp, _blockwise(dense, sets, percent))
+                comp = _joined(comp, _blockwise(dense, sets, percent, tables), tables)
                 free(docs.sparkSession)
             sized = members.groupBy("bucket", "c").agg(F.count("*").alias("k"))
             largest = sized.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("g")).select("bucket", F.col("g.c").alias("top"))
@@ -227,18 +227,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
         pairs = left.join(lead, "bucket").where(F.expr("id <> y and c <> d") & near).select(*_pair("id", "y")).distinct()
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = tables.keep(pairs, "pairs")
         tried.append(pairs)
         if pairs.isEmpty():
             continue
-        comp = _joined(comp, _verified(pairs, sets, percent))
+        comp = _joined(comp, _verified(pairs, sets, percent), tables)
         free(docs.sparkSession)
         if k == leaders:
             break
         placed = members.select("bucket", "band", "id", "n").join(comp.select(F.col("node").alias("id"), F.col("component").alias("x")), "id", "left").select("bucket", "band", "id", "n", F.coalesce("x", "id").alias("c"))
         still = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-        members = materialize(placed.join(still, "bucket"), "members")
-    discard(sets)
+        members = tables.keep(placed.join(still, "bucket"), "members")
     of = reps.select("dig", F.col("id"))
     if comp is not None:
         of = of.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("dig", F.coalesce("component", "id").alias("component"))
@@ -246,19 +245,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
         of = of.select("dig", F.col("id").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "dig").join(of, "dig", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), (F.col("doc_id") == cid).alias("kept"))
+    return tables.done(out.select("doc_id", "n_shingles", cid.alias("component_id"), (F.col("doc_id") == cid).alias("kept")), "near")
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(comp: DataFrame | None, links: DataFrame, tables: Tables) -> DataFrame:
     """(node, component) after ``links`` (a, b), which are first contracted to
     the components so far: only these are put together."""
     if comp is None:
-        return materialize(connected_components(links), "components")
+        return tables.keep(connected_components(links, tables), "components")
     ends = links
     for x in ("a", "b"):
         c = comp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_"))
         ends = ends.join(c, x, "left").withColumn(f"{x}_", F.coalesce(f"{x}_", x))
-    ends = materialize(ends.select("a", "b", "a_", "b_"), "ends")
-    over = materialize(connected_components(ends.select(F.col("a_").alias("a"), F.col("b_").alias("b"))), "components")
+    ends = tables.keep(ends.select("a", "b", "a_", "b_"), "ends")
+    over = tables.keep(connected_components(ends.select(F.col("a_").alias("a"), F.col("b_").alias("b")), tables), "components")
     moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
-    return materialize(moved.union(over.join(comp.select("node"), "node", "left_anti").select("node", "component")), "components")
+    return tables.keep(moved.union(over.join(comp.select("node"), "node", "left_anti").select("node", "component")), "components")
