@@ -10,9 +10,13 @@ and a gadget is kept as what it changed: the arc it removed, with its time, and
 where the new label's arcs and state come from. ``arc`` resolves a transition
 through these changes and stores it in the transition table.
 
-A word has one path whose labels spell it. Encoding follows it through the
-word's places: at each, the one token that ends there and has an arc from the
-state of the place where it starts. Decoding emits the labels of the arcs.
+A word has one path whose labels spell it. The labels are compiled into a
+second table, of transitions by symbols: its states are the beginnings of
+labels, each with the longest other beginning that ends it and the labels that
+end there, so that one step a symbol gives the labels that end at each place,
+longest first. Of these, the one with an arc from the state of the place where
+it starts is the path's: so a word is encoded by a step a symbol and a look at
+the arc table. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -43,10 +47,58 @@ class MergeAutomaton:
                 continue
             self.left[w], self.right[w], self.birth[w] = u, v, time
             self.removed[u, v] = time
-        live = {s: i for s, i in vocab.items() if i not in dead}
-        self.inner = {s: i for s, i in live.items() if not end or not s.endswith(end)}
-        self.final = {s[: len(s) - len(end)]: i for s, i in live.items() if s.endswith(end)} if end else self.inner
-        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
+        self._compile({s: i for s, i in vocab.items() if i not in dead})
+
+    def _compile(self, labels: dict[str, int]) -> None:
+        """Transitions by symbols. The end mark is a symbol of its own, 0."""
+        self.code: dict[str, int] = {}
+        self.width = 1 + len({c for s in labels for c in s})
+        self.step: dict[int, int] = {}  # state * width + symbol -> state
+        self.ends, self.depth, back = [-1], [0], [0]  # label that ends at a state; symbols so far
+        order: list[tuple[int, int, int]] = []
+        for s, i in labels.items():
+            marked = bool(self.end) and s.endswith(self.end)
+            at = 0
+            for c in [*(self.code.setdefault(c, len(self.code) + 1) for c in (s[: len(s) - len(self.end)] if marked else s)), *([0] if marked else [])]:
+                key = at * self.width + c
+                to = self.step.get(key)
+                if to is None:
+                    to = self.step[key] = len(self.ends)
+                    self.ends.append(-1)
+                    self.depth.append(self.depth[at] + 1)
+                    back.append(0)
+                    order.append((self.depth[to], at, c))
+                at = to
+            self.ends[at] = i
+        self.back = back
+        self.first, self.next = [0] * len(back), [0] * len(back)  # nearest states, itself included or not, where a label ends
+        for _, at, c in sorted(order):
+            to = self.step[at * self.width + c]
+            fall = self.back[at]
+            while at:
+                key = fall * self.width + c
+                if key in self.step:
+                    self.back[to] = self.step[key]
+                    break
+                if not fall:
+                    break
+                fall = self.back[fall]
+            self.next[to] = self.first[self.back[to]]
+            self.first[to] = to if self.ends[to] >= 0 else self.next[to]
+        self.moves: dict[int, int] = {}
+
+    def move(self, state: int, symbol: int) -> int:
+        """The transition table, filled where a beginning can't go on."""
+        key = state * self.width + symbol
+        to = self.step.get(key)
+        if to is None:
+            to = self.moves.get(key)
+            if to is None:
+                to = self.move(self.back[state], symbol) if state else 0
+                if len(self.moves) > 1_000_000:
+                    self.moves.clear()
+                self.moves[key] = to
+        return to
 
     def _arc(self, p: int, x: int, time: int) -> bool:
         """Whether, after the first ``time`` gadgets, the state behind p has an arc x."""
@@ -72,22 +124,31 @@ class MergeAutomaton:
 
     def encode(self, symbols: str) -> list[int]:
         """The labels of the path that spells ``symbols`` (the end mark is implied)."""
-        n = len(symbols)
-        state: list[int] = [-1] * (n + 1)
-        for i in range(1, n + 1):
-            known = self.final if i == n else self.inner
-            for j in range(max(0, i - self.longest), i):
-                x = known.get(symbols[j:i])
-                if x is not None and (j == 0 or state[j] >= 0 and self.arc(state[j], x)):
-                    state[i] = x
+        code, step, width, move = self.code, self.step, self.width, self.move
+        word = [code.get(c, -1) for c in symbols]
+        if self.end and word:
+            word.append(0)
+        label, start = [-1], [0]
+        state = 0
+        for i, c in enumerate(word, 1):
+            to = step.get(state * width + c) if c >= 0 else 0
+            state = move(state, c) if to is None else to
+            found, at = -1, self.first[state]
+            while at:
+                x = self.ends[at]
+                j = i - self.depth[at]
+                if not j or label[j] >= 0 and self.arc(label[j], x):
+                    found = x
                     break
-        out, i = [], n
+                at = self.next[at]
+            label.append(found)
+            start.append(j if found >= 0 else 0)
+        out, i = [], len(word)
         while i:
-            x = state[i]
-            if x < 0:
+            if label[i] < 0:
                 raise ValueError("no path spells this word")
-            out.append(x)
-            i -= len(self.label[x]) - (len(self.end) if i == n else 0)
+            out.append(label[i])
+            i = start[i]
         return out[::-1]
 
 
