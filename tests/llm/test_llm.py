@@ -461,6 +461,34 @@ def test_word_encoder(tokenizer, monkeypatch):
         assert wordbpe.encode_ids(path, t) == want and c.encode(t)[0] == want
 
 
+@pytest.mark.parametrize("chunk", [4_000_000, 50, 1])
+def test_many_texts(tokenizer, monkeypatch, chunk):
+    """Texts encoded and counted together: equal to the library, at any size of chunk and memory."""
+    monkeypatch.setattr(wordbpe, "CHUNK", chunk)
+    monkeypatch.setattr(wordbpe, "PARTS", 5)
+    wordbpe.library_encoder.cache_clear()
+    path, rng = queries.tokenizer_path(), np.random.default_rng(5)
+    chars = list("aabtsrevlldm019\u00e9''' \" .,-_\u00c9\u00df\u00aa\u00ff\u00b5N\u00ba1\u00bc\u00b2\u00b3\u00d7\u00f7\n\xa0\x85\t[]{~/:@`!&(<|\xad\x00\x1c\u4e2d")
+    texts = [None, "", " ", "'", "''s", "'s", "x's't're've'll'd'm'rex'lll 'l 'r", "Don'T WE'RE I'VE '", "<|endoftext|> x", "\u4e2d\u6587 word.", "</w> a</w>", "a" * 300, "last'"]
+    texts += ["".join(rng.choice(chars[:-6] if k % 4 else chars, rng.integers(0, 60))) for k in range(400)]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in wordbpe.encode_many(path, texts)] == want
+        assert wordbpe.count_many(path, texts).tolist() == [len(x) for x in want]
+    assert list(wordbpe.encode_many(path, [])) == [] and wordbpe.count_many(path, []).tolist() == []
+
+
+def test_many_texts_one_call(tokenizer, monkeypatch):
+    """New words of many texts go to the library in one call."""
+    path, calls, texts = queries.tokenizer_path(), [], ["qzxj vkwq qzxj", "zzqxk, vkwq!"]
+    wordbpe.library_encoder.cache_clear()
+    e = wordbpe.library_encoder(path)
+    monkeypatch.setattr(e, "encode_words", lambda many, f=e.encode_words: calls.append(len(many)) or f(many))
+    assert wordbpe.count_many(path, texts).tolist() == [len(tokenizer.encode(t).ids) for t in texts]
+    assert len(calls) == 1
+    wordbpe.library_encoder.cache_clear()
+
+
 def test_token_file(spark, docs, none, tokenizer):
     from voxelframe.llm.common import new_path
 

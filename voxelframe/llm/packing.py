@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .minhash import near_duplicates
-from .wordbpe import encode_ids
+from .wordbpe import count_many
 
 PLACED = "doc_id long, chunk int, n_tokens long, bin long, offset long"
 
@@ -132,7 +132,7 @@ def token_count(text: Column, path: str) -> Column:
     """Tokens of a text by the tokenizer file ``path``; 0 of a null."""
 
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(encode_ids(path, t)) // 4 if t else 0 for t in texts], dtype="int64")
+        return pd.Series(count_many(path, [t or None for t in texts]))
 
     return F.pandas_udf(count, "long")(text)
 

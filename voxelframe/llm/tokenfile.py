@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import discard, documents, free, materialize
-from .wordbpe import encode_ids, load_tokenizer
+from .wordbpe import encode_many, load_tokenizer
 
 BLOCKS = "part int, block int, dict_hash string, width int, ids array<long>, counts array<int>, offsets array<int>, data binary"
 #: A block ends after so many documents or bytes.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4_000_000
 
 
-def _pack_ids(raw: bytes, width: int) -> bytes:
-    return np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+def _pack_ids(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int, sample: int, size: int = 64_000, piece: int = 16_384) -> bytes:
@@ -49,7 +49,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int, sample: int, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            arrays = [_pack_ids(encode_ids(path, t.as_py()), width) for t in b.column(1)]
+            arrays = [_pack_ids(x, width) for x in encode_many(path, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k : k + piece] for x in arrays for k in range(0, max(1, len(x)), piece)], pa.binary())], ["s"])
 
     samples = sorted(bytes(r["s"]) for r in some.mapInArrow(run, "s binary").collect())
@@ -66,13 +66,12 @@ def _hash(dictionary: bytes) -> str:
 def _frames(path: str, end: int, width: int, dictionary: bytes, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
-        last = np.array([end], "<u4").tobytes()
+        last = _pack_ids(np.array([end]), width)
         for b in batches:
             n, frames = [], []
-            for t in b.column(1):
-                raw = encode_ids(path, t.as_py()) + last
-                n.append(len(raw) // 4)
-                frames.append(c.compress(_pack_ids(raw, width)))
+            for x in encode_many(path, b.column(1).to_pylist()):
+                n.append(len(x) + 1)
+                frames.append(c.compress(_pack_ids(x, width) + last))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
 
     return run

@@ -9,6 +9,10 @@ normalizer and splitter. Other pieces go to ``encode_piece``. Texts outside
 Latin-1, or with control characters or what may be a special token, take
 ``encode_text`` as a whole, and so do all texts for a tokenizer file with
 another normalizer or splitter than ``splits_words`` looks for.
+
+``encode_many`` and ``count_many`` take many texts at once: the words of joined
+texts are found by array operations on their bytes, and only the distinct words
+of a chunk go through the memory of parts.
 """
 
 from __future__ import annotations
@@ -16,12 +20,16 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Entries of a generation of a worker's memory; two are kept, and what is used again moves to the newer.
 PIECES, PARTS = 200_000, 100_000
+#: Texts are joined to chunks of about so many characters.
+CHUNK = 4_000_000
 #: One word with ASCII punctuation before and behind (no apostrophe, which may begin a contraction).
 _WORD = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z\xe0-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -39,6 +47,25 @@ def _latin_table() -> bytes:
 
 _LATIN = _latin_table()
 _CONTROL = bytes([*range(0x00, 0x09), *range(0x0E, 0x20), *range(0x7F, 0x85), *range(0x86, 0xA0), 0xAD])
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_KINDS = np.array([SPACE if c == 0x20 else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(256)], np.uint8)
+
+
+def word_starts(raw: np.ndarray) -> np.ndarray:
+    """Where words, as SPLIT finds them, and runs of white space begin in bytes
+    that went through _LATIN and end with three spaces."""
+    kind = _KINDS[raw]
+    cut = kind == DIGIT
+    cut[0] = True
+    cut[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(raw == 0x27)
+    at = at[cut[at]]  # contractions: an apostrophe that begins a word takes these letters, which end it
+    x, y = raw[at + 1], raw[at + 2]
+    for first, second in ("s", ""), ("t", ""), ("r", "e"), ("v", "e"), ("m", ""), ("l", "l"), ("d", ""):
+        found = at[(x == ord(first)) & (y == ord(second) if second else True)]
+        cut[found + 1] = False
+        cut[found + (3 if second else 2)] = True
+    return np.flatnonzero(cut)
 
 
 def byte_symbols() -> list[str]:
@@ -70,11 +97,12 @@ def splits_words(path: str) -> bool:
 
 
 class WordEncoder:
-    """Memory of pieces over three encoders. Results are opaque to it; ``joined``
+    """Memory of pieces over three encoders, and ``encode_words`` for many words. Results are opaque to it; ``joined``
     makes one of several. Without ``words`` every text is encoded as a whole."""
 
-    def __init__(self, encode_word: Callable, encode_piece: Callable, encode_text: Callable, joined: Callable, words: bool = True) -> None:
+    def __init__(self, encode_word: Callable, encode_piece: Callable, encode_text: Callable, joined: Callable, words: bool = True, encode_words: Callable | None = None) -> None:
         self.words = words
+        self.encode_words = encode_words or (lambda many: [encode_word(w) for w in many])
         self.encode_word, self.encode_piece, self.encode_text, self.joined = encode_word, encode_piece, encode_text, joined
         self.symbols = byte_symbols()
         self.known, self.before, self.parts, self.parts_before = {}, {}, {}, {}
@@ -84,7 +112,7 @@ class WordEncoder:
         if r is None:
             r = self.parts_before.get(part)
             if r is None:
-                r = self.encode_word(part.decode() if part.isascii() else "".join([self.symbols[b] for b in part.decode("latin-1").encode()]))
+                r = self.encode_word(self.spelt(part))
             self.parts[part] = r
         return r
 
@@ -114,6 +142,31 @@ class WordEncoder:
             known[p] = self._piece(p)
         return [known[p] for p in pieces]
 
+    def results(self, parts: list[bytes]) -> list:
+        """The results of many different words or runs of white space."""
+        if len(self.parts) > PARTS:
+            self.parts, self.parts_before = {}, self.parts
+        known, before = self.parts, self.parts_before
+        out = [*map(known.get, parts)]
+        new = []
+        for k, r in enumerate(out):
+            if r is None:
+                r = before.get(parts[k])
+                if r is None:
+                    new.append(k)
+                else:
+                    known[parts[k]] = out[k] = r
+        for k, r in zip(new, self.encode_words([self.spelt(parts[k]) for k in new]), strict=True):
+            known[parts[k]] = out[k] = r
+        return out
+
+    def spelt(self, part: bytes) -> str:
+        """The byte symbols of a word; nothing for white space."""
+        if part.isascii():
+            return part.decode().strip(" ")
+        return "".join([self.symbols[b] for b in part.decode("latin-1").encode()])
+
+
 
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -136,8 +189,98 @@ def library_encoder(path: str) -> WordEncoder:
     def ids(text: str) -> bytes:
         return np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return WordEncoder(word_ids, ids, ids, b"".join, splits_words(path))
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    by_space = Tokenizer(t.model)
+    by_space.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    suffix, vocab = t.model.end_of_word_suffix, t.get_vocab()
+    last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    last[[i for s, i in vocab.items() if suffix and s.endswith(suffix)]] = True
+
+    def words_ids(many: list[str]) -> list[bytes]:
+        """In one call, where the suffix of a word's last id tells the words apart."""
+        found = np.array(by_space.encode_batch_fast([" ".join(many)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(last[found]) + 1) * 4).tolist()
+        if len(ends) != sum(map(bool, many)) or ends and ends[-1] != found.nbytes:
+            return [word_ids(w) if w else b"" for w in many]
+        raw, cut = found.tobytes(), zip([0, *ends], ends)
+        each = (raw[x:y] for x, y in cut)
+        return [next(each) if w else b"" for w in many]
+
+    return WordEncoder(word_ids, ids, ids, b"".join, splits_words(path), words_ids)
 
 
 def encode_ids(path: str, text: str) -> bytes:
     return b"".join(library_encoder(path)(text))
+
+
+def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
+    """Consecutive texts of about CHUNK characters together; null is empty."""
+    chunk, size = [], 0
+    for t in texts:
+        t = t or ""
+        if chunk and size + len(t) > CHUNK:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(t)
+        size += len(t) + 1
+    if chunk:
+        yield chunk
+
+
+def _plain(encoder: WordEncoder, texts: list[str]) -> tuple[list[bytes], list[int]]:
+    """Latin-1 of the texts whose words ``word_starts`` finds, empty for the
+    others, and where these are."""
+    raws, others = [], []
+    for k, t in enumerate(texts):
+        try:
+            raw = t.encode("latin-1") if encoder.words else b""
+        except UnicodeEncodeError:
+            raw = b""
+        if t and (not raw or "<|" in t or len(raw.translate(None, _CONTROL)) != len(raw)):
+            others.append(k)
+            raw = b""
+        raws.append(raw)
+    return raws, others
+
+
+def _looked_up(encoder: WordEncoder, raws: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(index of each word's distinct word, ids of the distinct words and their
+    number, ends of the texts in words). Runs of white space count as words without ids."""
+    data = b" ".join(raws).translate(_LATIN) + b"   "
+    starts = word_starts(np.frombuffer(data, np.uint8))
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    found = encoder.results(words.dictionary.to_pylist())
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1
+    return words.indices.to_numpy(), found, np.fromiter(map(len, found), np.int64, len(found)) // 4, np.searchsorted(starts, ends)
+
+
+def encode_many(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The ids of each text, as ``encode_ids`` gives them; of null, none."""
+    encoder = library_encoder(path)
+    for chunk in _chunks(texts):
+        raws, others = _plain(encoder, chunk)
+        index, found, n, ends = _looked_up(encoder, raws)
+        first = (np.cumsum(n) - n)[index]
+        n = n[index]
+        total = np.append(0, np.cumsum(n))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        ids = flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
+        out = np.split(ids, total[ends])[:-1]
+        for k in others:
+            out[k] = np.frombuffer(b"".join(encoder(chunk[k])), "<u4")
+        yield from out
+
+
+def count_many(path: str, texts: list[str | None]) -> np.ndarray:
+    """The number of ids of each text; of null, 0."""
+    encoder, out = library_encoder(path), [np.empty(0, np.int64)]
+    for chunk in _chunks(texts):
+        raws, others = _plain(encoder, chunk)
+        index, _, n, ends = _looked_up(encoder, raws)
+        count = np.diff(np.append(0, np.cumsum(n[index]))[ends], prepend=0)
+        for k in others:
+            count[k] = len(b"".join(encoder(chunk[k]))) // 4
+        out.append(count)
+    return np.concatenate(out)
