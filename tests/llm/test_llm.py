@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelframe.llm import automaton, editcount, jpeg, minhash, packing, quality, queries, secrets, suffix, vptree, wordbpe
+from voxelframe.llm import automaton, common, editcount, jpeg, minhash, packing, quality, queries, secrets, suffix, vptree, wordbpe
 from voxelframe.llm.graph import connected_components
 from voxelframe.llm.minhash import near_duplicates
 
@@ -65,6 +65,26 @@ def test_near_duplicates(docs, words):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), group[i], group[i] == i)
 
 
+@pytest.mark.parametrize("chunk", [4_000_000, 50, 1])
+def test_shingles_of_many_texts(monkeypatch, chunk):
+    """Shingles, digests and bands of texts taken together are those of each text by itself."""
+    monkeypatch.setattr(common, "CHUNK", chunk)
+    rng = np.random.default_rng(8)
+    chars = list("aAbBzZ\u00e9\u00c9\u4e2d ,.  \n\t\x0b\x0c\r\x1c\x85\xa0")
+    texts = [None, "", "  ", "one", " one ", "one  two", "A b\nc d e f", LONG, BASE, "x y " * 50]
+    texts += ["".join(rng.choice(chars, rng.integers(0, 80))) for _ in range(300)]
+    for k in 2, 5:
+        got = list(common.shingle_sets(texts, k))
+        sigs = []
+        for t, (d, x) in zip(texts, got, strict=True):
+            w = common.words_of(t or "")
+            assert d == hashlib.blake2b(b" ".join(w), digest_size=16).digest() and x.tolist() == common.shingle_set(w, k).tolist()
+            if len(x):
+                sigs.append(minhash.circulant_signature(x, 160))
+        keys = minhash.band_keys(np.array(sigs), 5, 32)
+        assert keys.shape == (len(sigs), 32) and all((a == minhash.band_keys(s, 5, 32)).all() for a, s in zip(keys, sigs, strict=True))
+
+
 @pytest.mark.parametrize("dense", [20_000, -1])
 def test_near_duplicates_chain(spark, monkeypatch, dense):
     """A star of texts that are like the centre but not like each other; dense=-1
@@ -464,7 +484,7 @@ def test_word_encoder(tokenizer, monkeypatch):
 @pytest.mark.parametrize("chunk", [4_000_000, 50, 1])
 def test_many_texts(tokenizer, monkeypatch, chunk):
     """Texts encoded and counted together: equal to the library, at any size of chunk and memory."""
-    monkeypatch.setattr(wordbpe, "CHUNK", chunk)
+    monkeypatch.setattr(common, "CHUNK", chunk)
     monkeypatch.setattr(wordbpe, "PARTS", 5)
     wordbpe.library_encoder.cache_clear()
     path, rng = queries.tokenizer_path(), np.random.default_rng(5)

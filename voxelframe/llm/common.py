@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -111,20 +113,96 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the non-empty spans of ``data``, eight bytes at a step.
+    ``data`` ends with seven bytes that belong to no span."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = ends - starts
+    out = size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    left, at, which = size, starts, np.arange(len(starts))
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    for j in range(0, LONG_WORD, 8):
+        go = (left > 0) & (left <= LONG_WORD) if j == 0 else left > 0
+        if not go.all():
+            left, at, which = left[go], at[go], which[go]
+        if not len(left):
+            break
+        h = out[which] ^ (eights[at] & _LOW[np.minimum(left, 8)])
+        out[which] = mix64(h)
+        left, at = left - 8, at + 8
+    return out
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return hash_spans(b"".join(words) + bytes(7), np.append(0, ends[:-1]) if words else ends, ends)
+
+
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of each ``width`` consecutive words, of the words' hashes."""
+    n = len(h) - width + 1
+    out = np.full(n, 0x9E3779B97F4A7C15 * (width + 1) & M64, np.uint64)
+    for j in range(width):
+        out ^= h[j : n + j]
+        mix64(out)
+    return out
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of the whole
     sequence where it is shorter; empty for no words."""
-    n = len(words)
-    if not n:
+    if not words:
         return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    width = min(n, k)
-    out = np.full(n - width + 1, 0x9E3779B97F4A7C15 * (width + 1) & M64, np.uint64)
-    for j in range(width):
-        out ^= h[j : n - width + 1 + j]
-        mix64(out)
-    return np.unique(out)
+    return np.unique(shingles(word_hashes(words), min(len(words), k)))
+
+
+#: Texts are joined to chunks of about so many characters.
+CHUNK = 4_000_000
+_BLANK = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
+
+
+def chunks(texts: list[str | None]) -> Iterator[list[str]]:
+    """Consecutive texts of about CHUNK characters together; null is empty."""
+    chunk, size = [], 0
+    for t in texts:
+        t = t or ""
+        if chunk and size + len(t) > CHUNK:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(t)
+        size += len(t) + 1
+    if chunk:
+        yield chunk
+
+
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(128-bit digest of the words, ``shingle_set`` of the words) of each text.
+    Words are found and hashed in joined texts by array operations."""
+    for chunk in chunks(texts):
+        raws = [t.encode("utf-8", "surrogatepass") for t in chunk]
+        data = b" ".join(raws).lower().translate(_BLANK) + b" " * 8
+        word = np.frombuffer(data, np.uint8) != 0x20
+        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edges = np.append(0, edges)
+        starts, stops = edges[::2], edges[1::2]
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1
+        at = np.append(0, np.searchsorted(starts, ends))
+        first, last = np.append(starts, 0)[at[:-1]].tolist(), np.append(stops, 0)[at[1:] - 1].tolist()
+        h = hash_spans(data, starts, stops)
+        every = shingles(h, k) if len(h) >= k else None  # those across texts are left out below
+        for x, y, start, stop in zip(at[:-1].tolist(), at[1:].tolist(), first, last, strict=True):
+            n = y - x
+            seq = data[start:stop] if n else b""
+            if b"  " in seq:
+                seq = b" ".join(seq.split())
+            s = every[x : y - k + 1].copy() if n >= k else shingles(h[x:y], n) if n else np.empty(0, np.uint64)
+            s.sort()
+            new = s[1:] != s[:-1]
+            yield hashlib.blake2b(seq, digest_size=16).digest(), s if new.all() else s[np.append(True, new)]

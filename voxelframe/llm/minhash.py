@@ -27,7 +27,6 @@ hashes of their shingles.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, documents, free, mix64, shingle_set, words_of
+from .common import Tables, documents, free, mix64, shingle_sets
 from .graph import connected_components
 
 #: A group of left-over members with more pairs than this is compared in blocks.
@@ -49,23 +48,27 @@ SKETCH = "doc_id long, dig binary, n_shingles long, bands array<long>"
 def circulant_signature(x: np.ndarray, coords: int) -> np.ndarray:
     """The ``coords`` coordinates of a non-empty array of distinct hashes."""
     s = (x >> np.uint64(32)).astype(np.uint32)  # sigma: hashes are scattered by mix64
-    shifts = np.arange(coords, dtype=np.uint32)
+    # pi: bijective steps on 32-bit integers; the first, a product, is taken before the circular shift, a sum that wraps
+    s *= np.uint32(0x7FEB352D)
+    shifts = np.arange(coords, dtype=np.uint32)[:, None] * np.uint32(0x7FEB352D)
     out = np.full(coords, 0xFFFFFFFF, np.uint32)
-    step = max(1, 120_000 // coords)
+    step = max(1, 80_000 // coords)
     for at in range(0, len(s), step):
-        y = s[at : at + step][None, :] + shifts[:, None]  # wraps: the circular shift
-        y *= np.uint32(0x7FEB352D)  # pi: bijective steps on 32-bit integers
-        y ^= y >> np.uint32(15)
+        y = s[at : at + step] + shifts
+        z = y >> np.uint32(15) if at == 0 or y.shape != z.shape else np.right_shift(y, np.uint32(15), out=z)
+        y ^= z
         y *= np.uint32(0x846CA68B)
         np.minimum(out, y.min(axis=1), out=out)
     return out
 
 
 def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    m = sig.reshape(bands, rows).astype(np.uint64)
-    key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+    """The keys of the bands of a signature, or of each of several."""
+    m = sig.reshape(*sig.shape[:-1], bands, rows).astype(np.uint64)
+    key = np.empty(m.shape[:-1], np.uint64)
+    key[...] = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
     for j in range(rows):
-        key ^= m[:, j] + np.uint64(j << 40)
+        key ^= m[..., j] + np.uint64(j << 40)
         mix64(key)
     return key.view(np.int64)
 
@@ -73,15 +76,14 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 def _sketches(words: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dig, n, keys = [], [], []
-            for t in b.column(1):
-                w = words_of(t.as_py())
-                x = shingle_set(w, words)
-                dig.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
+            dig, n, sigs = [], [], []
+            for d, x in shingle_sets(b.column(1).to_pylist(), words):
+                dig.append(d)
                 n.append(len(x))
-                keys.append(band_keys(circulant_signature(x, rows * bands), rows, bands) if len(x) else np.empty(0, np.int64))
-            ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                if len(x):
+                    sigs.append(circulant_signature(x, rows * bands))
+            ends = np.cumsum([0] + [bands if k else 0 for k in n]).astype(np.int32)
+            flat = band_keys(np.array(sigs), rows, bands).ravel() if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dig, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "dig", "n_shingles", "bands"])
 
     return run
@@ -90,9 +92,11 @@ def _sketches(words: int, rows: int, bands: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [words_of(t.as_py()) for t in b.column(1)]
-            dig = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in split]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(w, words).tobytes() for w in split], pa.binary()), pa.array(dig, pa.binary())], ["id", "s", "dig"])
+            dig, sets = [], []
+            for d, x in shingle_sets(b.column(1).to_pylist(), words):
+                dig.append(d)
+                sets.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(dig, pa.binary())], ["id", "s", "dig"])
 
     return run
 

@@ -26,10 +26,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import chunks
+
 #: Entries of a generation of a worker's memory; two are kept, and what is used again moves to the newer.
 PIECES, PARTS = 200_000, 100_000
-#: Texts are joined to chunks of about so many characters.
-CHUNK = 4_000_000
 #: One word with ASCII punctuation before and behind (no apostrophe, which may begin a contraction).
 _WORD = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z\xe0-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -214,20 +214,6 @@ def encode_ids(path: str, text: str) -> bytes:
     return b"".join(library_encoder(path)(text))
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    """Consecutive texts of about CHUNK characters together; null is empty."""
-    chunk, size = [], 0
-    for t in texts:
-        t = t or ""
-        if chunk and size + len(t) > CHUNK:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(t)
-        size += len(t) + 1
-    if chunk:
-        yield chunk
-
-
 def _plain(encoder: WordEncoder, texts: list[str]) -> tuple[list[bytes], list[int]]:
     """Latin-1 of the texts whose words ``word_starts`` finds, empty for the
     others, and where these are."""
@@ -259,7 +245,7 @@ def _looked_up(encoder: WordEncoder, raws: list[bytes]) -> tuple[np.ndarray, lis
 def encode_many(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """The ids of each text, as ``encode_ids`` gives them; of null, none."""
     encoder = library_encoder(path)
-    for chunk in _chunks(texts):
+    for chunk in chunks(texts):
         raws, others = _plain(encoder, chunk)
         index, found, n, ends = _looked_up(encoder, raws)
         first = (np.cumsum(n) - n)[index]
@@ -276,7 +262,7 @@ def encode_many(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
 def count_many(path: str, texts: list[str | None]) -> np.ndarray:
     """The number of ids of each text; of null, 0."""
     encoder, out = library_encoder(path), [np.empty(0, np.int64)]
-    for chunk in _chunks(texts):
+    for chunk in chunks(texts):
         raws, others = _plain(encoder, chunk)
         index, _, n, ends = _looked_up(encoder, raws)
         count = np.diff(np.append(0, np.cumsum(n[index]))[ends], prepend=0)
