@@ -485,7 +485,7 @@ def test_word_encoder(tokenizer, monkeypatch):
 def test_many_texts(tokenizer, monkeypatch, chunk):
     """Texts encoded and counted together: equal to the library, at any size of chunk and memory."""
     monkeypatch.setattr(common, "CHUNK", chunk)
-    monkeypatch.setattr(wordbpe, "PARTS", 5)
+    monkeypatch.setattr(wordbpe, "TABLE_BITS", 6)
     wordbpe.library_encoder.cache_clear()
     path, rng = queries.tokenizer_path(), np.random.default_rng(5)
     chars = list("aabtsrevlldm019\u00e9''' \" .,-_\u00c9\u00df\u00aa\u00ff\u00b5N\u00ba1\u00bc\u00b2\u00b3\u00d7\u00f7\n\xa0\x85\t[]{~/:@`!&(<|\xad\x00\x1c\u4e2d")
@@ -496,6 +496,7 @@ def test_many_texts(tokenizer, monkeypatch, chunk):
         assert [x.tolist() for x in wordbpe.encode_many(path, texts)] == want
         assert wordbpe.count_many(path, texts).tolist() == [len(x) for x in want]
     assert list(wordbpe.encode_many(path, [])) == [] and wordbpe.count_many(path, []).tolist() == []
+    wordbpe.library_encoder.cache_clear()
 
 
 def test_many_texts_one_call(tokenizer, monkeypatch):

@@ -115,7 +115,8 @@ def words_of(text: str) -> list[bytes]:
 
 #: Longer words are hashed one by one.
 LONG_WORD = 64
-_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Masks of the first bytes of eight.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             left, at, which = left[go], at[go], which[go]
         if not len(left):
             break
-        h = out[which] ^ (eights[at] & _LOW[np.minimum(left, 8)])
+        h = out[which] ^ (eights[at] & LOW[np.minimum(left, 8)])
         out[which] = mix64(h)
         left, at = left - 8, at + 8
     return out

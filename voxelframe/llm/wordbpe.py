@@ -11,8 +11,9 @@ Latin-1, or with control characters or what may be a special token, take
 another normalizer or splitter than ``splits_words`` looks for.
 
 ``encode_many`` and ``count_many`` take many texts at once: the words of joined
-texts are found by array operations on their bytes, and only the distinct words
-of a chunk go through the memory of parts.
+texts are found by array operations on their bytes and looked up in a hash table
+of arrays, whose keys are the words' bytes themselves; only new words, and those
+of over 16 bytes, become Python objects.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 
-from .common import chunks
+from .common import LOW, chunks, mix64
 
+#: Slots of the table of short words, as a power of 2; it is emptied once it is half full.
+TABLE_BITS = 21
 #: Entries of a generation of a worker's memory; two are kept, and what is used again moves to the newer.
 PIECES, PARTS = 200_000, 100_000
 #: One word with ASCII punctuation before and behind (no apostrophe, which may begin a contraction).
@@ -53,7 +55,7 @@ _KINDS = np.array([SPACE if c == 0x20 else {"L": LETTER, "N": DIGIT}.get(unicode
 
 def word_starts(raw: np.ndarray) -> np.ndarray:
     """Where words, as SPLIT finds them, and runs of white space begin in bytes
-    that went through _LATIN and end with three spaces."""
+    that went through _LATIN and end with three spaces or more."""
     kind = _KINDS[raw]
     cut = kind == DIGIT
     cut[0] = True
@@ -107,6 +109,10 @@ class WordEncoder:
         self.symbols = byte_symbols()
         self.known, self.before, self.parts, self.parts_before = {}, {}, {}, {}
 
+    @functools.cached_property
+    def table(self) -> WordTable:
+        return WordTable(lambda words: self.encode_words([self.spelt(w) for w in words]))
+
     def _part(self, part: bytes):
         r = self.parts.get(part)
         if r is None:
@@ -142,32 +148,86 @@ class WordEncoder:
             known[p] = self._piece(p)
         return [known[p] for p in pieces]
 
-    def results(self, parts: list[bytes]) -> list:
-        """The results of many different words or runs of white space."""
-        if len(self.parts) > PARTS:
-            self.parts, self.parts_before = {}, self.parts
-        known, before = self.parts, self.parts_before
-        out = [*map(known.get, parts)]
-        new = []
-        for k, r in enumerate(out):
-            if r is None:
-                r = before.get(parts[k])
-                if r is None:
-                    new.append(k)
-                else:
-                    known[parts[k]] = out[k] = r
-        for k, r in zip(new, self.encode_words([self.spelt(parts[k]) for k in new]), strict=True):
-            known[parts[k]] = out[k] = r
-        return out
-
     def spelt(self, part: bytes) -> str:
-        """The byte symbols of a word; nothing for white space."""
+        """The byte symbols of a word."""
         if part.isascii():
-            return part.decode().strip(" ")
+            return part.decode()
         return "".join([self.symbols[b] for b in part.decode("latin-1").encode()])
 
 
 
+class WordTable:
+    """A memory of words of up to 16 bytes: open addressing over two arrays of
+    eight bytes of each word, so that equal keys are equal words."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]) -> None:
+        self.encode, self.size = encode, 1 << TABLE_BITS
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = [np.zeros(self.size, np.uint64) for _ in range(2)]  # 0: an empty slot; no word begins with a byte 0
+        self.value = np.zeros(self.size, np.int32)
+        self.n, self.flat = np.empty(0, np.int64), np.empty(0, "<u4")  # ids of each value, one after the other
+        self.full = False
+
+    def _slots(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the slot of each key or the empty one where its search ends, whether it is there)."""
+        slot = (mix64(mix64(x.copy()) ^ y) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        there = self.keys[0][slot]
+        hit = (there == x) & (self.keys[1][slot] == y)
+        on = np.flatnonzero(~hit & (there != 0))
+        while len(on):
+            at = slot[on] = (slot[on] + 1) & (self.size - 1)
+            there = self.keys[0][at]
+            found = (there == x[on]) & (self.keys[1][at] == y[on])
+            hit[on[found]] = True
+            on = on[~found & (there != 0)]
+        return slot, hit
+
+    def _insert(self, x: np.ndarray, y: np.ndarray, value: np.ndarray) -> None:
+        """Different keys that aren't there; of those that end at one slot, one goes in and the others look on."""
+        while len(x):
+            slot, _ = self._slots(x, y)
+            _, one = np.unique(slot, return_index=True)
+            self.keys[0][slot[one]], self.keys[1][slot[one]], self.value[slot[one]] = x[one], y[one], value[one]
+            rest = np.ones(len(x), bool)
+            rest[one] = False
+            x, y, value = x[rest], y[rest], value[rest]
+
+    def find(self, data: bytes, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value of each word, number of ids of each value, ids of all values).
+        ``data`` goes on for 16 bytes after the last word."""
+        if self.full:
+            self.clear()
+        eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        x, y = eights[starts] & LOW[np.minimum(size, 8)], eights[starts + 8] & LOW[np.clip(size - 8, 0, 8)]
+        slot, hit = self._slots(x, y)
+        value = self.value[slot].astype(np.int64)
+        short = size <= 16
+        n, flat, known = self.n, self.flat, len(self.n)
+        shorts, longs = np.flatnonzero(~hit & short), np.flatnonzero(~short)
+        if not len(shorts) and not len(longs):
+            return value, n, flat
+        places: dict[bytes, int] = {}
+        new = []
+        for which in (shorts, longs):
+            words = [data[s:e] for s, e in zip(starts[which].tolist(), (starts[which] + size[which]).tolist(), strict=True)]
+            value[which] = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words)) + known
+            new.append(len(places))
+        ids = self.encode(list(places))
+        n = np.concatenate([n, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")])
+        kept = known + new[0]
+        if kept <= self.size // 2:
+            first = np.empty(new[0], np.int64)
+            first[value[shorts] - known] = shorts
+            self._insert(x[first], y[first], np.arange(known, kept))
+            self.n, self.flat = n[:kept], flat[: n[:kept].sum()]
+        else:
+            self.full = True
+        return value, n, flat
+
+
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -201,11 +261,10 @@ def library_encoder(path: str) -> WordEncoder:
         """In one call, where the suffix of a word's last id tells the words apart."""
         found = np.array(by_space.encode_batch_fast([" ".join(many)], add_special_tokens=False)[0].ids, "<u4")
         ends = ((np.flatnonzero(last[found]) + 1) * 4).tolist()
-        if len(ends) != sum(map(bool, many)) or ends and ends[-1] != found.nbytes:
-            return [word_ids(w) if w else b"" for w in many]
-        raw, cut = found.tobytes(), zip([0, *ends], ends)
-        each = (raw[x:y] for x, y in cut)
-        return [next(each) if w else b"" for w in many]
+        if len(ends) != len(many) or ends and ends[-1] != found.nbytes:
+            return [word_ids(w) for w in many]
+        raw = found.tobytes()
+        return [raw[x:y] for x, y in zip([0, *ends], ends)]
 
     return WordEncoder(word_ids, ids, ids, b"".join, splits_words(path), words_ids)
 
@@ -230,16 +289,16 @@ def _plain(encoder: WordEncoder, texts: list[str]) -> tuple[list[bytes], list[in
     return raws, others
 
 
-def _looked_up(encoder: WordEncoder, raws: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """(index of each word's distinct word, ids of the distinct words and their
-    number, ends of the texts in words). Runs of white space count as words without ids."""
-    data = b" ".join(raws).translate(_LATIN) + b"   "
-    starts = word_starts(np.frombuffer(data, np.uint8))
-    offsets = np.append(starts, len(data)).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-    found = encoder.results(words.dictionary.to_pylist())
+def _looked_up(encoder: WordEncoder, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value of each word, number of ids of each value, ids of all values, ends of the texts in words)."""
+    data = b" ".join(raws).translate(_LATIN) + b" " * 16
+    raw = np.frombuffer(data, np.uint8)
+    cut = word_starts(raw)
+    words = raw[cut] != 0x20
+    size = np.diff(cut, append=len(data))[words]
     ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1
-    return words.indices.to_numpy(), found, np.fromiter(map(len, found), np.int64, len(found)) // 4, np.searchsorted(starts, ends)
+    starts = cut[words]
+    return *encoder.table.find(data, starts, size), np.searchsorted(starts, ends)
 
 
 def encode_many(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -247,11 +306,10 @@ def encode_many(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     encoder = library_encoder(path)
     for chunk in chunks(texts):
         raws, others = _plain(encoder, chunk)
-        index, found, n, ends = _looked_up(encoder, raws)
-        first = (np.cumsum(n) - n)[index]
-        n = n[index]
+        value, n, flat, ends = _looked_up(encoder, raws)
+        first = (np.cumsum(n) - n)[value]
+        n = n[value]
         total = np.append(0, np.cumsum(n))
-        flat = np.frombuffer(b"".join(found), "<u4")
         ids = flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
         out = np.split(ids, total[ends])[:-1]
         for k in others:
@@ -264,8 +322,8 @@ def count_many(path: str, texts: list[str | None]) -> np.ndarray:
     encoder, out = library_encoder(path), [np.empty(0, np.int64)]
     for chunk in chunks(texts):
         raws, others = _plain(encoder, chunk)
-        index, _, n, ends = _looked_up(encoder, raws)
-        count = np.diff(np.append(0, np.cumsum(n[index]))[ends], prepend=0)
+        value, n, _, ends = _looked_up(encoder, raws)
+        count = np.diff(np.append(0, np.cumsum(n[value]))[ends], prepend=0)
         for k in others:
             count[k] = len(b"".join(encoder(chunk[k]))) // 4
         out.append(count)
