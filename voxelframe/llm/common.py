@@ -164,7 +164,7 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
 
 
 #: Texts are joined to chunks of about so many characters.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 _BLANK = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 
 
