@@ -1,8 +1,11 @@
 """Each operator on awkward rows, on an empty table, and against brute force."""
 
 import hashlib
+import os
 import re
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -586,6 +589,30 @@ def test_packing_tokens(spark, tmp_path, tokenizer):
     assert at[1] != at[2] and at[6] is None and all(r["bin"] is not None for r in out if r["doc_id"] is None)
 
 
+#: Counts the tokens of texts of 300 000 different words and prints the MB that the process has gained in the end.
+COUNTED = """
+import re
+import numpy as np, pandas as pd
+from voxelframe.llm import packing, queries
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", f.read())[1]) / 1024
+raw = np.random.default_rng(1).integers(97, 123, (300_000, 7), np.uint8).tobytes().decode()
+words = [raw[k : k + 7] for k in range(0, len(raw), 7)]
+batches = [pd.Series([" ".join(words[k : k + 500]) for k in range(at, at + 150_000, 500)]) for at in (0, 150_000)]
+del raw, words
+before = held()
+assert sum(int(x.sum()) for x in packing._counts(queries.tokenizer_path())(iter(batches))) > 300_000
+print(held() - before)
+"""
+
+
+def test_memory_given_back():
+    """After a task, a worker keeps the memory of its encoder and little else."""
+    out = subprocess.run([sys.executable, "-c", COUNTED], env=os.environ | {"OMP_NUM_THREADS": "1"}, cwd=os.path.dirname(corpus_pipeline.__file__), capture_output=True, text=True, check=True).stdout
+    assert float(out) < 100, out
+
+
 def test_padded_and_url_safe_keys(spark):
     """Keys with padding, of URL-safe letters or over 64 characters are linked; a ruler and a lone key are not."""
     keys = ["k9Zq" * 10 + "aB3=", "Q7+/" * 21 + "Ab==", "a-_Z" * 8, "Zz81" * 24]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,27 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return memory that was freed to the system. Python workers live on after a
+    task, and what malloc and Arrow keep for later counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with ``give_back`` at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(doc_id, text[, more]): the columns an operator needs, by whatever other
     columns there are. A null text counts as empty; a row without an id takes
@@ -164,11 +187,11 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
 
 
 #: Texts are joined to chunks of about so many characters.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _BLANK = bytes(0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """Consecutive texts of about CHUNK characters together; null is empty."""
     chunk, size = [], 0
     for t in texts:
@@ -182,7 +205,7 @@ def chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield chunk
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
+def shingle_sets(texts: Iterable[str | None], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """(128-bit digest of the words, ``shingle_set`` of the words) of each text.
     Words are found and hashed in joined texts by array operations."""
     for chunk in chunks(texts):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, documents, free, mix64, shingle_sets
+from .common import Tables, documents, free, lean, mix64, shingle_sets
 from .graph import connected_components
 
 #: A group of left-over members with more pairs than this is compared in blocks.
@@ -77,7 +77,7 @@ def _sketches(words: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dig, n, sigs = [], [], []
-            for d, x in shingle_sets(b.column(1).to_pylist(), words):
+            for d, x in shingle_sets((t.as_py() for t in b.column(1)), words):
                 dig.append(d)
                 n.append(len(x))
                 if len(x):
@@ -93,7 +93,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dig, sets = [], []
-            for d, x in shingle_sets(b.column(1).to_pylist(), words):
+            for d, x in shingle_sets((t.as_py() for t in b.column(1)), words):
                 dig.append(d)
                 sets.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(dig, pa.binary())], ["id", "s", "dig"])
@@ -123,7 +123,7 @@ def _confirm(percent: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the (a, b) whose sets pass."""
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    return pairs.join(sb, "b").join(sa, "a").select("a", "b", "sa", "sb").mapInArrow(lean(_confirm(percent)), "a long, b long")
 
 
 def _dense(members: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
@@ -177,7 +177,7 @@ def _blockwise(dense: DataFrame, sets: DataFrame, percent: int, tables: Tables)
                 keep = np.unique(pair, axis=0, return_index=True)[1] if len(pair) else np.empty(0, int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids2[j])[keep]), pa.array(np.maximum(ids[i], ids2[j])[keep])], ["a", "b"])
 
-    return rows.select("ids", "comps", "ends", "hashes", "ids2", "comps2", "ends2", "hashes2").mapInArrow(compare, "a long, b long")
+    return rows.select("ids", "comps", "ends", "hashes", "ids2", "comps2", "ends2", "hashes2").mapInArrow(lean(compare), "a long, b long")
 
 
 def _incidence(hashes: np.ndarray, ends: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -199,14 +199,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     ``docs``. component_id is the smallest id that links reach."""
     percent, tables = round(threshold * 100), Tables()
     texts = documents(docs, id_col, text_col)
-    sketch = tables.keep(texts.mapInArrow(_sketches(words, rows, bands), SKETCH), "sketch")
+    sketch = tables.keep(texts.mapInArrow(lean(_sketches(words, rows, bands)), SKETCH), "sketch")
     one = sketch.where("n_shingles > 0").groupBy("dig").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
     reps = tables.keep(one.select("dig", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "reps")
 
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     members = tables.keep(banded.join(shared, "bucket").select("bucket", "band", "id", "n", F.col("id").alias("c")), "members")
-    sets = tables.keep(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s binary, dig binary").dropDuplicates(["id", "dig"]).select("id", "s"), "sets")
+    sets = tables.keep(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(lean(_sets(words)), "id long, s binary, dig binary").dropDuplicates(["id", "dig"]).select("id", "s"), "sets")
 
     free(docs.sparkSession)
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")

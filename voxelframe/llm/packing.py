@@ -24,12 +24,13 @@ another bin). An empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 from .minhash import near_duplicates
 from .wordbpe import count_many
 
@@ -128,13 +129,20 @@ def pack_tokens(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     return pack(materialize(rows, "clustered"), F.col("n"), F.col("source"), F.col("c"), capacity)
 
 
-def token_count(text: Column, path: str) -> Column:
-    """Tokens of a text by the tokenizer file ``path``; 0 of a null."""
+def _counts(path: str):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series(count_many(path, [t or None for t in texts]))
+        finally:
+            give_back()
+
+    return run
 
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(count_many(path, [t or None for t in texts]))
 
-    return F.pandas_udf(count, "long")(text)
+def token_count(text: Column, path: str) -> Column:
+    """Tokens of a text by the tokenizer file ``path``; 0 of a null."""
+    return F.pandas_udf(_counts(path), "long")(text)
 
 
 def word_count(text: Column) -> Column:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BITS = 18
 
 
@@ -176,8 +178,8 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 12_000
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], ["i", "g", "f"])
 
-    rows = texts.groupBy("i", "g").agg(F.min("text").alias("text")).mapInArrow(run, "i long, g int, f binary")
-    m = rows.repartition(1).mapInArrow(_fit(levels), FITTED).first()
+    rows = texts.groupBy("i", "g").agg(F.min("text").alias("text")).mapInArrow(lean(run), "i long, g int, f binary")
+    m = rows.repartition(1).mapInArrow(lean(_fit(levels)), FITTED).first()
     weights = np.zeros(1 << BITS, np.float32)
     if m is None:
         return OrdinalModel(weights, np.full(levels - 1, -5.0) + np.arange(levels - 1))
@@ -193,7 +195,7 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             tails = model.tails(np.array([model.score(t.as_py()) for t in b.column(1)], float)) if b.num_rows else np.empty((0, len(model.thresholds)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1), pa.float64()), pa.array(list(tails), pa.list_(pa.float64()))], ["doc_id", "expected_grade", "tails"])
 
-    return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
+    return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(lean(run), "doc_id long, expected_grade double, tails array<double>")
 
 
 def select_rows(docs: DataFrame, model: OrdinalModel, level: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -206,7 +208,7 @@ def select_rows(docs: DataFrame, model: OrdinalModel, level: int, least: float =
             s = np.array([model.score(t.as_py() or "") for t in b.column(place)], float)
             yield b.filter(pa.array(model.tails(s)[:, level - 1] >= least)) if b.num_rows else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

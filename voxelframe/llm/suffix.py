@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, free, materialize, mix64
+from .common import discard, documents, free, lean, materialize, mix64
 
 RNG = np.random.default_rng(20240229)
 _BYTE = RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -388,7 +388,7 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 24, hot: int =
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, id_col, text_col)
-    runs = materialize(texts.mapInArrow(_grams(length, gram), RUNS), "runs")
+    runs = materialize(texts.mapInArrow(lean(_grams(length, gram)), RUNS), "runs")
     again = runs.where("n > 0").groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("rh").alias("a"), F.max("rh").alias("b"), F.max("own").alias("own")).where("n > 1 or own")
     again = materialize(again.select("g", "k", (F.expr("a <> b") | F.col("own")).alias("many")), "again")
     free(spark)
@@ -402,12 +402,12 @@ def removed_spans(docs: DataFrame, length: int = 100, gram: int = 24, hot: int =
     events = [whole, _events(repeated, 1, False), _events(first, 1, True)]
     many = first.where("own")
     by_doc = many.groupBy("doc_id", "d").agg(F.collect_list(F.struct("lo", "hi", "g")).alias("runs"))
-    pieces = texts.join(by_doc, ["doc_id", "d"]).select("doc_id", "d", "text", "runs").mapInArrow(_pieces(length), PIECES)
+    pieces = texts.join(by_doc, ["doc_id", "d"]).select("doc_id", "d", "text", "runs").mapInArrow(lean(_pieces(length)), PIECES)
     tables = [whole, repeated, first]
     crowded = materialize(many.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > hot), "crowded")
     tables.append(crowded)
     if crowded.isEmpty():
-        found = materialize(pieces.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_judged(length), FOUND), "spans")
+        found = materialize(pieces.repartition(n, "g").sortWithinPartitions("g").mapInArrow(lean(_judged(length)), FOUND), "spans")
         events.append(_events(found, 0, False))
         tables.append(found)
     else:
@@ -431,9 +431,9 @@ def _deal(pieces: DataFrame, crowded: DataFrame, grams: list[int], length: int,
     for level, gram in enumerate(grams, 2):
         keys = crowded.select("g")
         calm = pieces.join(keys, "g", "left_anti").repartition(n, "g").sortWithinPartitions("g")
-        found = materialize(calm.mapInArrow(_judged(length), FOUND), "spans")
+        found = materialize(calm.mapInArrow(lean(_judged(length)), FOUND), "spans")
         events.append(_events(found, 0, False))
-        rows = materialize(pieces.join(keys, "g", "left_semi").select("doc_id", "d", "g", "lo", "bytes").mapInArrow(_narrow(length, gram), "doc_id long, d long, lo int, hi int, g long, rh long, own boolean, bytes binary"), "narrow")
+        rows = materialize(pieces.join(keys, "g", "left_semi").select("doc_id", "d", "g", "lo", "bytes").mapInArrow(lean(_narrow(length, gram)), "doc_id long, d long, lo int, hi int, g long, rh long, own boolean, bytes binary"), "narrow")
         first = materialize(_firsts(rows, "bytes"), "firsts")
         events += [_events(rows, level, False), _events(first, level, True)]
         sized = first.groupBy("g").agg(F.count("*").alias("k"), F.max("own").alias("own")).where("k > 1 or own")
@@ -445,7 +445,7 @@ def _deal(pieces: DataFrame, crowded: DataFrame, grams: list[int], length: int,
         if gram < length and crowded.isEmpty():
             break
     if gram < length:
-        found = materialize(pieces.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_judged(length), FOUND), "spans")
+        found = materialize(pieces.repartition(n, "g").sortWithinPartitions("g").mapInArrow(lean(_judged(length)), FOUND), "spans")
         events.append(_events(found, 0, False))
         tables.append(found)
 
@@ -529,7 +529,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, gram: int = 24, hot: int =
     """(doc_id, n_bytes, n_removed, n_spans, kept: binary), one row for each row of ``docs``."""
     spans = removed_spans(docs, length, gram, hot, id_col, text_col)
     all_ = _texts(docs, id_col, text_col).join(spans, ["doc_id", "d"], "left")
-    return all_.select("doc_id", "text", "spans").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return all_.select("doc_id", "text", "spans").mapInArrow(lean(_strip(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, gram: int = 24, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -543,4 +543,4 @@ def cut_repeats(docs: DataFrame, length: int = 100, gram: int = 24, hot: int = 4
     keyed = docs.toDF(*names).withColumn("d", F.xxhash64(F.coalesce(F.col(names[text]).cast("string"), F.lit(""))))
     keyed = keyed.withColumn("doc_id", F.col(names[docs.columns.index(id_col)]).cast("long"))
     all_ = keyed.join(spans, ["doc_id", "d"], "left").select(*names, "spans")
-    return all_.mapInArrow(_cut(length, docs.columns, text, chars), docs.schema)
+    return all_.mapInArrow(lean(_cut(length, docs.columns, text, chars)), docs.schema)

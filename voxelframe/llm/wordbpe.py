@@ -26,10 +26,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from .common import LOW, chunks, mix64
+from .common import LOW, chunks, give_back, mix64
 
 #: Slots of the table of short words, as a power of 2; it is emptied once it is half full.
 TABLE_BITS = 21
+#: Words that the library gets in one call; it keeps some hundred bytes for each until the call ends.
+CALL = 1 << 13
 #: Entries of a generation of a worker's memory; two are kept, and what is used again moves to the newer.
 PIECES, PARTS = 200_000, 100_000
 #: One word with ASCII punctuation before and behind (no apostrophe, which may begin a contraction).
@@ -258,6 +260,9 @@ def library_encoder(path: str) -> WordEncoder:
     last[[i for s, i in vocab.items() if suffix and s.endswith(suffix)]] = True
 
     def words_ids(many: list[str]) -> list[bytes]:
+        return [x for at in range(0, len(many), CALL) for x in some_ids(many[at : at + CALL])]
+
+    def some_ids(many: list[str]) -> list[bytes]:
         """In one call, where the suffix of a word's last id tells the words apart."""
         found = np.array(by_space.encode_batch_fast([" ".join(many)], add_special_tokens=False)[0].ids, "<u4")
         ends = ((np.flatnonzero(last[found]) + 1) * 4).tolist()
@@ -266,7 +271,9 @@ def library_encoder(path: str) -> WordEncoder:
         raw = found.tobytes()
         return [raw[x:y] for x, y in zip([0, *ends], ends)]
 
-    return WordEncoder(word_ids, ids, ids, b"".join, splits_words(path), words_ids)
+    out = WordEncoder(word_ids, ids, ids, b"".join, splits_words(path), words_ids)
+    give_back()  # what parsing the file took
+    return out
 
 
 def encode_ids(path: str, text: str) -> bytes:
