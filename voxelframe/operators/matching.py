@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .traces import _sum
 
 
@@ -120,13 +124,50 @@ def crossings(lines: DataFrame, cell: float, threshold: float = 10) -> DataFrame
     return hit.withColumn("_gap", F.col("ka") - F.lag("ka").over(w)).where(F.col("_gap").isNull() | (F.col("_gap") >= threshold)).drop("_gap")
 
 
+def _finite(*values) -> Column:
+    """Whether all are numbers but NaN and the infinities."""
+    return F.coalesce(reduce(and_, (F.abs(v) < float("inf") for v in values)), F.lit(False))
+
+
+def _strips(picks: DataFrame, key: str) -> DataFrame:
+    """(key, strip, x0, x1, y0, y1, picks): finite places (key, x, y, depth) in
+    strips along the longer axis of their key, each of at most the root of the
+    key's number (64 at least). A key needn't fit a task."""
+    n = picks.groupBy(key).agg(F.greatest(F.ceil(F.sqrt(F.count("*"))), F.lit(64)).alias("_size"), (F.max("x") - F.min("x") > F.max("y") - F.min("y")).alias("_wide"))
+    t = picks.join(n, key).withColumns({"_a": F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")), "_b": F.when(F.col("_wide"), F.col("y")).otherwise(F.col("x"))})
+    t = t.repartitionByRange(key, "_a", "_b").withColumn("_part", F.spark_partition_id())
+    k = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_a", "_b")) - 1
+    t = t.withColumn("strip", F.shiftleft(F.col("_part").cast("long"), 32) + F.floor(k / F.col("_size")))
+    ends = (f(a).alias(f"{a}{n}") for a in "xy" for n, f in enumerate((F.min, F.max)))
+    return cut(t.groupBy(key, "strip").agg(*ends, F.collect_list(F.struct("x", "y", "depth")).alias("picks")))  # used more than once, and dealt by a sample
+
+
 def nearest_pick(points: DataFrame, picks: DataFrame, key: str, metric: str = "l1") -> DataFrame:
     """For each row (key, id, x, y) of ``points`` the pick (key, depth, x, y) of
-    its key that is nearest (ties: least depth): (key, id, depth, distance)."""
-    dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
-    far = F.abs(dx) + F.abs(dy) if metric == "l1" else F.sqrt(dx * dx + dy * dy)
-    j = points.select(key, "id", F.col("x").alias("px"), F.col("y").alias("py")).join(picks, key)
-    return j.groupBy(key, "id").agg(F.min(F.struct(far.alias("far"), "depth")).alias("m")).select(key, "id", "m.depth", F.round("m.far", 6).alias("distance"))
+    its key that is nearest (ties: least depth): (key, id, depth, distance). A
+    point is compared with the strip of picks (see _strips) nearest to it, and
+    then with those whose box is no farther than what was found there. Places
+    that aren't finite are compared by their kinds; unknown distances are last."""
+    size = (lambda dx, dy: dx + dy) if metric == "l1" else (lambda dx, dy: F.sqrt(dx * dx + dy * dy))
+    far = lambda c: size(F.abs(F.col("px") - c["x"]), F.abs(F.col("py") - c["y"]))
+    box = lambda c: size(*(F.greatest(c[f"{a}0"] - F.col(f"p{a}"), F.col(f"p{a}") - c[f"{a}1"], F.lit(0.0)) for a in "xy"))  # noqa: E731  # in floats too no more than to any pick of it
+    rated = lambda c: F.struct(far(c).isNull().alias("unknown"), far(c).alias("far"), c["depth"].isNull().alias("none"), c["depth"].alias("depth"))
+    found = F.array_min(F.transform("picks", rated))
+
+    p = points.select(key, "id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    places = picks.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "depth").groupBy(key, "x", "y").agg(F.min("depth").alias("depth"))
+    s = _strips(places.where(_finite(F.col("x"), F.col("y")) & F.col(key).isNotNull()), key)
+    boxes = s.groupBy(key).agg(F.collect_list(F.struct("strip", "x0", "x1", "y0", "y1")).alias("boxes"))
+    first = p.where(_finite(F.col("px"), F.col("py"))).join(boxes, key).withColumn("strip", F.array_min(F.transform("boxes", lambda c: F.struct(box(c).alias("far"), c["strip"].alias("strip"))))["strip"]).drop("boxes")
+    one = first.join(s.select(key, "strip", "picks"), [key, "strip"]).withColumn("best", found).drop("picks")
+    rest = F.filter("boxes", lambda c: (c["strip"] != F.col("strip")) & (box(c) <= F.col("best.far")))
+    more = one.join(boxes, key).withColumn("strip", F.explode_outer(F.transform(rest, lambda c: c["strip"]))).drop("boxes")
+    near = more.join(s.select(key, "strip", "picks"), [key, "strip"], "left").select(key, "id", F.least("best", found).alias("best"))
+
+    kind = lambda v: F.when(_finite(F.col(v)), 0.0).otherwise(F.col(v))
+    kinds = places.groupBy(key, kind("x").alias("x"), kind("y").alias("y")).agg(F.min("depth").alias("depth"))  # at most 25 for each key
+    odd = p.join(kinds, key).where(~_finite(F.col("px"), F.col("py"), F.col("x"), F.col("y"))).select(key, "id", rated({c: F.col(c) for c in ("x", "y", "depth")}).alias("best"))
+    return near.union(odd).groupBy(key, "id").agg(F.min("best").alias("m")).select(key, "id", "m.depth", F.round("m.far", 6).alias("distance"))
 
 
 def adjusted(traces: DataFrame, at: DataFrame, reach: int = 1) -> DataFrame:
